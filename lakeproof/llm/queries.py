@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, quality, simhash
+from . import language, mixing, oracles, packing, quality, simhash
 from .common import table
 
 
@@ -20,7 +20,30 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents declare a language and name their source, which stands for the host; they have no address."""
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, declared=docs["lang"], host=docs["source"])
+
+
 QUERIES = {
+    "op5_language_id": op5_language_id,
+    "op4_mixing": op4_mixing,
+    "op9_packing": op9_packing,
     "op6_simhash": op6_simhash,
     "op7_quality_rules": op7_quality_rules,
 }
