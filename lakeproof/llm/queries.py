@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, oracles, packing, quality, simhash
+from . import language, mixing, oracles, packing, quality, simhash, urls
 from .common import table
 
 
@@ -40,7 +40,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, declared=docs["lang"], host=docs["source"])
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
     "op4_mixing": op4_mixing,
     "op9_packing": op9_packing,
@@ -48,5 +53,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
 }
 ORACLES = {
+    "op3_url_filters": oracles.URLS,
     "op7_quality_rules": oracles.QUALITY,
 }
