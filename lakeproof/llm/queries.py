@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, oracles, packing, quality, simhash, urls
+from . import language, mixing, oracles, packing, quality, simhash, urls, warc
 from .common import table
 
 
@@ -44,7 +44,12 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
     "op4_mixing": op4_mixing,
