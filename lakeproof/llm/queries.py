@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, oracles, packing, quality, simhash, urls, warc
+from . import language, lzprint, mixing, oracles, packing, quality, simhash, urls, warc
 from .common import table
 
 
@@ -48,7 +48,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(spark, table(spark, sf_dir, "pages"))
 
 
+def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op8_lz_fingerprints": op8_lz_fingerprints,
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
     "op5_language_id": op5_language_id,
