@@ -1,7 +1,6 @@
 """Lempel-Ziv phrase fingerprints: a text's LZ78 dictionary phrases, min-hashed.
 
-The parse runs over the UTF-8 bytes of the whole text. Every phrase gets a 64-bit hash, built from its parent phrase's and its
-last byte, and the phrase set is reduced to one minimum per bin (one-permutation hashing, empty bins filled from the next).
+The parse runs over the UTF-8 bytes of the whole text. Every phrase gets a 64-bit hash and the phrase set is reduced to one minimum per bin (one-permutation hashing, empty bins filled from the next).
 The share of equal bins estimates the Jaccard likeness of two phrase sets.
 """
 
@@ -25,49 +24,55 @@ KEPT_BITS = 16
 
 
 class Parser:
-    """LZ78 parse of a growing byte string; copies continue independently."""
+    """LZ78 parse of a growing byte string; copies continue independently.
+
+    Nodes are numbered as phrases are found; a key of children is the parent's number above the next byte. ends has the byte
+    position behind each phrase; an unfinished last phrase is already in the dictionary and adds nothing.
+    """
 
     def __init__(self) -> None:
         self.children: dict[int, int] = {}
-        self.node, self.count = 0, 1
+        self.node, self.size, self.ends = 0, 0, []
 
     def copy(self) -> Parser:
         other = Parser()
-        other.children, other.node, other.count = self.children.copy(), self.node, self.count
+        other.children, other.node, other.size, other.ends = self.children.copy(), self.node, self.size, self.ends.copy()
         return other
 
     def feed(self, data: bytes) -> Parser:
-        """Nodes are numbered as phrases are found; a key is the parent's number above the byte."""
-        children, node, count = self.children, self.node, self.count
+        children, node, count, found = self.children, self.node, len(self.children) + 1, self.ends.append
         get = children.get
-        for byte in data:
+        for at, byte in enumerate(data, self.size + 1):
             key = node << 8 | byte
             node = get(key, 0)
             if not node:
                 children[key] = count
                 count += 1
-        self.node, self.count = node, count
+                found(at)
+        self.node, self.size = node, self.size + len(data)
         return self
 
-    def hashes(self) -> np.ndarray:
-        """Hash of every phrase. A phrase follows its parent in order of discovery, so depths are resolved a level at a time.
-
-        An unfinished last phrase is already in the dictionary and adds nothing.
-        """
-        keys = np.fromiter(self.children, np.int64, len(self.children))
-        parent, byte = keys >> 8, (keys & 255).astype(np.uint64)
-        out = np.zeros(len(keys) + 1, np.uint64)
-        out[0] = np.uint64(0x9E3779B97F4A7C15)
-        level = np.flatnonzero(parent == 0)
-        todo = np.flatnonzero(parent != 0)
-        done = np.zeros(len(keys) + 1, bool)
-        done[0] = True
-        while level.size:
-            out[level + 1] = _mix(out[parent[level]] * np.uint64(0xBF58476D1CE4E5B9) + byte[level] + np.uint64(1))
-            done[level + 1] = True
-            ready = done[parent[todo]]
-            level, todo = todo[ready], todo[~ready]
-        return out[1:]
+
+#: An odd number and its inverse modulo 2 ** 64: a phrase's hash is its polynomial in BASE, whatever its place in the text.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
+_powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** n modulo 2 ** 64."""
+    if _powers[base].size <= n:
+        _powers[base] = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(max(2 * n, 1 << 14), base, np.uint64))))
+    return _powers[base][: n + 1]
+
+
+def phrase_hashes(data: bytes, ends: list[int]) -> np.ndarray:
+    """Hashes of the phrases of data that end at ends."""
+    stops = np.array(ends, np.int64)
+    starts = np.concatenate((np.zeros(1, np.int64), stops[:-1])) if stops.size else stops
+    terms = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * _power(BASE, len(data))[:-1]
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+    return _mix((sums[stops] - sums[starts]) * _power(INVERSE, len(data))[starts])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,13 +117,15 @@ class Started:
         self.doc_id, self.text = doc_id, text
         self.front = edited(text, "")[0]
         self.parser = Parser().feed(_bytes(self.front))
-        self.signature = signature(self.parser.copy().feed(_bytes(text[len(self.front) :])).hashes())
+        whole = self.parser.copy().feed(_bytes(text[len(self.front) :]))
+        self.signature = signature(phrase_hashes(_bytes(text), whole.ends))
 
     def row(self, following: Started) -> tuple:
         """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
         end = edited(self.text, following.text)[1]
-        other = signature(self.parser.copy().feed(_bytes(end)).hashes())
-        sha = hashlib.sha256(_bytes(self.front + end)).hexdigest()
+        changed = _bytes(self.front + end)
+        other = signature(phrase_hashes(changed, self.parser.copy().feed(_bytes(end)).ends))
+        sha = hashlib.sha256(changed).hexdigest()
         near = likeness(self.signature, other), likeness(self.signature, following.signature)
         return self.doc_id, len(self.text), sha, text_of(self.signature), text_of(other), *near
 
