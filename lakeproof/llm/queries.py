@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lzprint, mixing, oracles, packing, quality, simhash, urls, warc
+from . import language, lzprint, mixing, oracles, packing, quality, simhash, toxicity, urls, warc
 from .common import table
 
 
@@ -52,7 +52,12 @@ def op8_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lzprint.compare_neighbours(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op10_toxicity": op10_toxicity,
     "op8_lz_fingerprints": op8_lz_fingerprints,
     "op2_warc": op2_warc,
     "op3_url_filters": op3_url_filters,
