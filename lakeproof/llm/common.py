@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -50,11 +51,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, *partitions: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
     path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def release(spark: SparkSession) -> None:
+    """Has the JVM forget finished passes, upon which Spark deletes their shuffle files."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def discard(df: DataFrame) -> None:

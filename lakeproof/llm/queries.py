@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, lzprint, mixing, oracles, packing, quality, simhash, toxicity, urls, warc
+from . import language, lzprint, mixing, oracles, packing, pitmanyor, quality, simhash, toxicity, urls, warc
 from .common import table
 
 
@@ -56,7 +56,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pitman_yor": op1_pitman_yor,
     "op10_toxicity": op10_toxicity,
     "op8_lz_fingerprints": op8_lz_fingerprints,
     "op2_warc": op2_warc,
