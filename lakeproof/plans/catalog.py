@@ -1,4 +1,498 @@
-"""Registry of queries and oracles."""
+"""Named queries over the driver tables, each with DuckDB SQL of the same rows. Keys of array columns are joined to text for comparison."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import errors, evidence, extract, numeric, paths, risk
+from ..operators import compat, coverage, gate, graph, keys, load, sequence
+from . import adapt
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its oracle."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- endpoints and paths ---------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, {adapt.ENDPOINTS_SQL}
+SELECT e.method, e.path, count(c.path) AS n_calls, count(c.path) > 0 AS covered
+FROM endpoints e LEFT JOIN calls c ON e.method = c.method AND regexp_matches(c.path, e.re) GROUP BY e.method, e.path""")
+def endpoint_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """F-01, F-03, J-01."""
+    return coverage.match_calls(adapt.endpoints(spark), adapt.calls(spark, d)).withColumn("covered", F.col("n_calls") > 0)
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, {adapt.ENDPOINTS_SQL}, c AS (
+  SELECT e.method, e.path, count(c.path) > 0 AS covered FROM endpoints e LEFT JOIN calls c ON e.method = c.method AND regexp_matches(c.path, e.re) GROUP BY e.method, e.path)
+SELECT count(*) AS total, count(*) FILTER (WHERE covered) AS covered, floor(count(*) FILTER (WHERE covered) / count(*) * 10000 + 0.5) / 100 AS percent FROM c""")
+def coverage_report(spark: SparkSession, d: str) -> DataFrame:
+    """A-01, P-20."""
+    return coverage.coverage_summary(endpoint_coverage(spark, d), F.col("covered"))
+
+
+_URL_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_PAGE_PATHS = rf"""p AS (SELECT page_id, CASE WHEN {_URL_PATH} = '' THEN '/' ELSE {_URL_PATH} END AS path FROM pages
+), t AS (SELECT page_id, path, array_to_string([CASE WHEN regexp_matches(s, '^\d+$') THEN '{{id}}' WHEN regexp_matches(s, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$') THEN '{{id}}'
+  WHEN regexp_matches(s, '^[0-9a-fA-F]{{8,}}$') AND regexp_matches(s, '\d') THEN '{{id}}' WHEN regexp_matches(s, '^[A-Za-z0-9]+([-_][A-Za-z0-9]+)+$') AND regexp_matches(s, '\d') THEN '{{id}}' ELSE s END
+  FOR s IN string_split(path, '/')], '/') AS template FROM p)"""
+
+
+@query(f"WITH {_PAGE_PATHS} SELECT template, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY template".replace("array_to_string([CASE", "array_to_string([CASE").replace("FOR s IN", "FOR s IN"))
+def path_templates(spark: SparkSession, d: str) -> DataFrame:
+    """X-11, X-23."""
+    pages = adapt.table(spark, d, "pages").select("page_id", paths.normalize(paths.url_path(F.col("url"))).alias("template"))
+    return pages.groupBy("template").agg(F.count("*").alias("n"), F.min("page_id").alias("first_page"))
+
+
+@query(f"""WITH {_PAGE_PATHS}, e(template) AS (VALUES ('/en/{{x}}'), ('/de/{{page}}'), ('/fr/{{a}}/{{b}}'))
+SELECT e.template, count(t.page_id) AS n FROM e LEFT JOIN t ON regexp_replace(t.template, '\\{{[^}}/]+\\}}', '{{}}', 'g') = regexp_replace(e.template, '\\{{[^}}/]+\\}}', '{{}}', 'g') GROUP BY e.template""")
+def template_match(spark: SparkSession, d: str) -> DataFrame:
+    """F-02, J-02."""
+    ends = spark.createDataFrame([("GET", "/en/{x}"), ("GET", "/de/{page}"), ("GET", "/fr/{a}/{b}")], "method string, path string")
+    seen = adapt.table(spark, d, "pages").select(F.lit("GET").alias("method"), paths.url_path(F.col("url")).alias("path"))
+    found = coverage.template_matches(seen, ends).groupBy("template").agg(F.count("*").alias("n"))
+    return ends.select(F.col("path").alias("template")).join(found, "template", "left").na.fill(0, ["n"])
+
+
+@query(f"""WITH {_PAGE_PATHS} SELECT page_id, path, regexp_matches(path, '^/de/[^/]+$') OR regexp_matches(path, '^/fr/.+$') AS excluded FROM t""")
+def exclude_glob(spark: SparkSession, d: str) -> DataFrame:
+    """F-04, F-05."""
+    pages = adapt.table(spark, d, "pages").select("page_id", paths.url_path(F.col("url")).alias("path"))
+    return pages.withColumn("excluded", paths.excluded(F.lit("GET"), F.col("path"), ("delete",), ("/de/*", "/fr/**")))
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, ops(template, codes, ord, re) AS (VALUES ('/users/:id', '200,404', 1, '^/users/[^/]+$'), ('/users/:id/orders', '201', 2, '^/users/[^/]+/orders$'), ('/users/7', '200', 3, '^/users/7$')),
+i AS (SELECT event_id AS id, method, path, CASE WHEN event_id % 3 = 0 THEN 404 ELSE 200 END AS status FROM calls WHERE method <> 'DELETE'),
+m AS (SELECT i.*, template, codes, row_number() OVER (PARTITION BY id ORDER BY ord, template) AS r FROM i LEFT JOIN ops ON regexp_matches(path, re))
+SELECT id, method, path, status, template, CASE WHEN template IS NULL THEN 'missing' WHEN list_contains(string_split(codes, ','), status::VARCHAR) THEN 'compatible' ELSE 'incompatible' END AS result FROM m WHERE r = 1""")
+def contract_first_match(spark: SparkSession, d: str) -> DataFrame:
+    """F-17, J-15."""
+    rows = [(m, p, c.split(","), o) for m in ("GET", "POST") for p, c, o in (("/users/:id", "200,404", 1), ("/users/:id/orders", "201", 2), ("/users/7", "200", 3))]
+    ops = spark.createDataFrame(rows, "method string, path string, codes array<string>, ord int")
+    asked = adapt.calls(spark, d).filter("method <> 'DELETE'").select(F.col("event_id").alias("id"), "method", "path", F.when(F.col("event_id") % 3 == 0, 404).otherwise(200).alias("status"))
+    return compat.contract_matches(asked, ops)
+
+
+# ---- load tests ------------------------------------------------------------------------------------------------------
+
+_METRICS = """m AS (SELECT event_type AS label, count(*) AS n, sum(value::DECIMAL(18,4))::DOUBLE AS busy, quantile_disc(value, 0.5) AS med, quantile_disc(value, 0.95) AS q95, quantile_disc(value, 0.99) AS q99,
+  count(*) FILTER (WHERE value >= 90) AS errors FROM events GROUP BY event_type),
+metrics AS (SELECT label, n, floor(busy / n * 100 + 0.5) / 100 AS avg, floor(med * 100 + 0.5) / 100 AS median, floor(q95 * 100 + 0.5) / 100 AS p95, floor(q99 * 100 + 0.5) / 100 AS p99,
+  floor(errors / n * 10000 + 0.5) / 10000 AS error_rate, floor(n / (busy / 1000) * 100 + 0.5) / 100 AS throughput FROM m)"""
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return adapt.table(spark, d, "events").select(F.col("event_type").alias("label"), F.col("value").alias("elapsed"), (F.col("value") < 90).alias("success"), "ts")
+
+
+@query(f"WITH {_METRICS} SELECT * FROM metrics")
+def load_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """A-09, P-24."""
+    return load.metrics(_samples(spark, d))
+
+
+@query(f"""WITH {_METRICS}, e(id, method, path) AS (VALUES ('view', 'GET', 'view'), ('GET click', 'GET', 'click'), ('x', 'GET', 'sign'), ('none', 'PUT', 'nothing')),
+t AS (SELECT e.*, metrics.label, n, avg, median, p95, p99, error_rate, throughput, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN label = id THEN 0 WHEN contains(lower(label), lower(method)) THEN 1 ELSE 2 END, label) AS r
+  FROM e LEFT JOIN metrics ON contains(lower(label), lower(path)) OR label = id)
+SELECT id, method, path, label, n, avg, median, p95, p99, error_rate, throughput, CASE WHEN median IS NULL THEN 'missing-data' WHEN median <= 60 AND error_rate <= 0.2 THEN 'good' ELSE 'needs-improvement' END AS status FROM t WHERE r = 1""")
+def sla_status(spark: SparkSession, d: str) -> DataFrame:
+    """D-05, J-11."""
+    ends = spark.createDataFrame([("view", "GET", "view"), ("GET click", "GET", "click"), ("x", "GET", "sign"), ("none", "PUT", "nothing")], "id string, method string, path string")
+    labels = load_metrics(spark, d).withColumn("ord", F.col("label"))
+    return load.service_level(load.endpoint_metrics(ends, labels), 60.0, 0.2)
+
+
+@query("""WITH h AS (SELECT event_type, date_trunc('hour', ts) AS hour, sum(value::DECIMAL(18,4))::DOUBLE AS total FROM events GROUP BY ALL)
+SELECT a.event_type, a.hour, a.total, a.total - b.total AS delta FROM h a LEFT JOIN h b ON a.event_type = b.event_type AND b.hour = a.hour - INTERVAL 1 HOUR""")
+def delta_1h(spark: SparkSession, d: str) -> DataFrame:
+    """W-06, R-03."""
+    hours = adapt.table(spark, d, "events").groupBy("event_type", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+    return load.change_over(hours, ["event_type"], "hour", "total")
+
+
+@query("SELECT event_type, arg_max(value, (ts, value)) AS value FROM events GROUP BY event_type")
+def gauges(spark: SparkSession, d: str) -> DataFrame:
+    """A-24, K-08."""
+    return load.last_values(adapt.table(spark, d, "events"), ["event_type"], "ts", "value")
+
+
+# ---- requirements and texts ------------------------------------------------------------------------------------------
+
+_RULE_ROWS = ", ".join(f"('{i}', '{k}')" for i, ks in adapt.RULES for k in ks)
+
+
+@query(f"""WITH rules(id, k) AS (VALUES {_RULE_ROWS})
+SELECT id, count(DISTINCT doc_id) AS n_entries FROM rules LEFT JOIN documents ON contains(lower(text), k) GROUP BY id""")
+def keyword_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """F-11, J-07 to J-10, A-04."""
+    rules = spark.createDataFrame([(i, list(k)) for i, k in adapt.RULES], "id string, keywords array<string>")
+    return coverage.requirement_coverage(rules, adapt.table(spark, d, "documents").select(F.col("text").alias("description")), sorted({k for _, ks in adapt.RULES for k in ks}))
+
+
+@query("""WITH s AS (SELECT o_orderkey, [400, 401, 403, 404, 409, 422, 418, 503, 200][o_orderkey % 9 + 1] AS code, CASE WHEN o_custkey % 3 = 0 THEN 'Missing field' WHEN o_custkey % 3 = 1 THEN 'bad FORMAT' ELSE '' END AS description, o_orderstatus = 'F' AS covered FROM orders),
+c AS (SELECT covered, unnest(CASE WHEN code = 400 THEN CASE WHEN description = 'Missing field' THEN ['missing-parameter'] WHEN description = 'bad FORMAT' THEN ['invalid-value'] ELSE ['missing-parameter', 'invalid-value'] END
+  WHEN code = 401 THEN ['unauthorized'] WHEN code = 403 THEN ['forbidden'] WHEN code = 404 THEN ['not-found'] WHEN code = 409 THEN ['conflict'] WHEN code BETWEEN 401 AND 499 THEN ['invalid-value'] WHEN code >= 500 THEN ['server-error'] ELSE [] END) AS category FROM s),
+k(category) AS (VALUES ('missing-parameter'), ('invalid-value'), ('unauthorized'), ('forbidden'), ('not-found'), ('conflict'), ('server-error'), ('unused')),
+g AS (SELECT k.category, count(c.category) AS total, count(*) FILTER (WHERE covered) AS covered FROM k LEFT JOIN c USING (category) GROUP BY k.category)
+SELECT category, total, covered, CASE WHEN total = 0 THEN 0 ELSE floor(covered / total * 100 * 100 + 0.5) / 100 END AS percent FROM g""")
+def category_summary(spark: SparkSession, d: str) -> DataFrame:
+    """F-22, A-06, A-07, P-21."""
+    codes = F.array(*[F.lit(x) for x in (400, 401, 403, 404, 409, 422, 418, 503, 200)])
+    code = F.element_at(codes, (F.col("o_orderkey") % 9 + 1).cast("int"))
+    text = F.when(F.col("o_custkey") % 3 == 0, "Missing field").when(F.col("o_custkey") % 3 == 1, "bad FORMAT").otherwise("")
+    items = adapt.table(spark, d, "orders").select(errors.categories_of(code, text).alias("categories"), (F.col("o_orderstatus") == "F").alias("done"))
+    domain = spark.createDataFrame([(c,) for c in (*errors.CATEGORIES, "unused")], "category string")
+    return coverage.by_category(items, "categories", F.col("done"), domain)
+
+
+@query("""WITH s AS (SELECT conv_id AS flow, contains(lower(text), 'you') OR contains(lower(text), 'th') AS covered FROM conversations), g AS (SELECT flow, count(*) AS steps, count(*) FILTER (WHERE covered) AS covered FROM s GROUP BY flow)
+SELECT flow, steps, covered, CASE WHEN covered = 0 THEN 'missing' WHEN covered = steps THEN 'complete' ELSE 'partial' END AS status FROM g""")
+def flow_status(spark: SparkSession, d: str) -> DataFrame:
+    """F-12, J-09, A-05."""
+    turns = adapt.table(spark, d, "conversations")
+    steps = turns.select(F.col("conv_id").alias("flow"), coverage.keyword_hit(F.col("text"), F.col("text"), F.array(F.lit("you"), F.lit("TH"))).alias("covered"))
+    return coverage.flow_status(steps, steps)
+
+
+@query("""WITH f AS (SELECT source, bool_or(contains(lower(text), 'token')) AS valid, bool_or(regexp_matches(text, '[0-9]{12,}')) AS boundary, bool_or(contains(lower(text), 'zzzz')) AS missing, bool_or(regexp_matches(text, '[#$%]{3}')) AS invalid FROM documents GROUP BY source)
+SELECT *, (valid::INT + boundary::INT + missing::INT + invalid::INT) / 4 AS ratio FROM f""")
+def param_flags(spark: SparkSession, d: str) -> DataFrame:
+    """F-15, J-03, A-02, A-03."""
+    t = F.col("text")
+    flags = {"valid": F.contains(F.lower(t), F.lit("token")), "boundary": t.rlike("[0-9]{12,}"), "missing": F.contains(F.lower(t), F.lit("zzzz")), "invalid": t.rlike("[#$%]{3}")}
+    return coverage.parameter_flags(adapt.table(spark, d, "documents").select("source", *[v.alias(k) for k, v in flags.items()]), ["source"], list(flags))
+
+
+@query("""SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'size', CASE WHEN n_chars > 1000 THEN 'large' ELSE 'small' END FROM documents) GROUP BY ALL""")
+def grouping_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A-10, A-21, A-22."""
+    docs = adapt.table(spark, d, "documents").select("lang", "source", F.when(F.col("n_chars") > 1000, "large").otherwise("small").alias("size"))
+    return coverage.zero_filled_counts(docs, "lang", "source", "size")
+
+
+@query("""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE page_id % 5 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '/e2e/a.py' WHEN 2 THEN '/api/x.api.rb' WHEN 3 THEN '/A.JAVA' ELSE '' END AS path FROM pages)
+SELECT page_id, CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' WHEN 'java' THEN 'java' END AS language,
+  CASE WHEN page_id % 5 = 1 THEN 'e2e' WHEN page_id % 5 = 2 THEN 'api' ELSE 'unit' END AS layer, CASE WHEN page_id % 5 = 1 THEN 'medium' WHEN page_id % 5 = 2 THEN 'high' ELSE 'low' END AS confidence FROM f""".replace("\\\\", "\\"))
+def test_layers(spark: SparkSession, d: str) -> DataFrame:
+    """X-01, X-16."""
+    tails = F.element_at(F.array(*[F.lit(x) for x in (".spec.ts", "/e2e/a.py", "/api/x.api.rb", "/A.JAVA", "")]), (F.col("page_id") % 5 + 1).cast("int"))
+    files = adapt.table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("url", "^https?://", ""), tails).alias("path"))
+    layer = extract.test_layer(F.col("path"), F.lit(""))
+    return files.select("page_id", extract.language_of(F.col("path")).alias("language"), layer["layer"].alias("layer"), layer["confidence"].alias("confidence"))
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, f AS (SELECT DISTINCT user_id, method, path FROM calls WHERE user_id % 20 = 0)
+SELECT 'f' || user_id AS file, method, path FROM f""")
+def extracted_calls(spark: SparkSession, d: str) -> DataFrame:
+    """X-02, X-07, U-05: calls written into source texts and read out again."""
+    lines = adapt.calls(spark, d).filter("user_id % 20 = 0").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("request."), F.lower("method"), F.lit("('"), F.col("path"), F.lit("')")).alias("line"))
+    files = lines.groupBy("file").agg(F.array_join(F.collect_list("line"), "\n").alias("content")).withColumn("language", F.lit("typescript"))
+    return extract.http_calls(files).select("file", "method", "path")
+
+
+# ---- findings and recommendations ------------------------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    f = adapt.findings(spark, d)
+    score = risk.score(F.col("severity"), F.col("category"), F.col("path"), F.col("zero"), F.col("signal"))
+    f = f.withColumn("score", score).withColumn("band", risk.band(F.col("score")))
+    return f.withColumn("priority", risk.priority(F.col("score"), risk.is_money(F.col("path")) | (F.col("category") == "missing-auth-test")))
+
+
+_RANKED = f"WITH {adapt.FINDINGS_SQL}, {adapt.SCORED_SQL}"
+
+
+@query(f"{_RANKED} SELECT id, score, band, priority FROM ranked")
+def risk_score(spark: SparkSession, d: str) -> DataFrame:
+    """F-18, P-03 to P-09, D-08."""
+    return _scored(spark, d).select("id", "score", "band", "priority")
+
+
+@query(f"""{_RANKED}, w AS (SELECT *, max(score) OVER (PARTITION BY bucket, category, path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ranked),
+k AS (SELECT *, row_number() OVER (PARTITION BY bucket, category, path ORDER BY ord DESC) AS r FROM w WHERE pm IS NULL OR score > pm)
+SELECT bucket, category, path, string_agg(id::VARCHAR, ',' ORDER BY ord) AS linked, max(id) FILTER (WHERE r = 1) AS id, max(score) AS score FROM k GROUP BY ALL""")
+def rec_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """A-14, W-02."""
+    best = keys.running_best(_scored(spark, d), ["bucket", "category", "path"], "score", "ord", "id")
+    return best.select("bucket", "category", "path", F.array_join(F.transform("linked", lambda x: x.cast("string")), ",").alias("linked"), "id", "score")
+
+
+@query(f"{_RANKED} SELECT id, category, path, score FROM ranked ORDER BY score DESC, ord LIMIT 5")
+def topk_risk(spark: SparkSession, d: str) -> DataFrame:
+    """T-01 to T-03, T-08."""
+    return keys.top(_scored(spark, d), 5, F.desc("score"), "ord").select("id", "category", "path", "score")
+
+
+@query(f"""{_RANKED} SELECT count(*) AS total, count(*) FILTER (WHERE upper(severity) = 'CRITICAL') AS critical, count(*) FILTER (WHERE upper(severity) = 'HIGH') AS high, count(*) FILTER (WHERE priority = 'P0') AS p0,
+  count(*) FILTER (WHERE priority = 'P1') AS p1, count(*) FILTER (WHERE priority = 'P2') AS p2, count(*) FILTER (WHERE priority = 'P3') AS p3, max(score) AS max_score, floor(sum(score) / count(*) + 0.5)::BIGINT AS avg_score FROM ranked""")
+def intel_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A-15, P-23."""
+    f = _scored(spark, d)
+    n = F.count("*")
+    return f.agg(
+        n.alias("total"), *[F.count_if(F.upper("severity") == s.upper()).alias(s) for s in ("critical", "high")], *[F.count_if(F.col("priority") == p.upper()).alias(p) for p in ("p0", "p1", "p2", "p3")],
+        F.max("score").alias("max_score"), numeric.round_half_up(F.sum("score") / n).alias("avg_score"),
+    )
+
+
+@query(f"WITH {adapt.FINDINGS_SQL} SELECT severity, category, path, min(id) AS id, arg_min(zero, ord) AS zero FROM findings GROUP BY severity, category, path")
+def findings_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """U-05, J-24."""
+    return keys.first_by(adapt.findings(spark, d), ["severity", "category", "path"], ["ord"]).select("severity", "category", "path", "id", "zero")
+
+
+@query(f"""WITH {adapt.FINDINGS_SQL}, g AS (SELECT category AS type, count(*) AS total, count(*) FILTER (WHERE zero) AS covered FROM findings GROUP BY category),
+p AS (SELECT type, total, CASE WHEN total = 0 THEN 0 ELSE floor(covered / total * 10000 + 0.5) / 100 END AS percent FROM g),
+t AS (SELECT *, CASE type WHEN 'other' THEN 20 WHEN 'missing-auth-test' THEN 99 ELSE 40 END AS threshold FROM p)
+SELECT type, percent, threshold::DOUBLE AS threshold, round(threshold - percent, 2) AS gap FROM t WHERE percent < threshold""")
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    """J-29, D-01 to D-03."""
+    results = coverage.coverage_summary(adapt.findings(spark, d), F.col("zero"), "category").withColumnRenamed("category", "type")
+    overrides = gate.branch_thresholds("release/1", (("main", {"other": 1.0}), ("release/*", {"other": 20.0})))
+    failed = gate.failures(results, gate.threshold_of(F.col("type"), overrides, {"other": 90.0, "missing-auth-test": 99.0}, 40.0))
+    return failed.select("type", "percent", "threshold", "gap")
+
+
+@query(f"""WITH {adapt.FINDINGS_SQL}, g AS (SELECT category AS type, count(*) AS total, floor(count(*) FILTER (WHERE zero) / count(*) * 10000 + 0.5) / 100 AS percent FROM findings GROUP BY category),
+k(type) AS (VALUES ('other'), ('missing-auth-test'), ('unknown'))
+SELECT coalesce(k.type, g.type) AS type, total, percent, CASE WHEN total IS NULL THEN 'SKIPPED' WHEN percent < 33.3 THEN 'FAIL' WHEN total = 0 THEN 'N/A' ELSE 'PASS' END AS status FROM k FULL JOIN g USING (type)""")
+def metric_status(spark: SparkSession, d: str) -> DataFrame:
+    """D-04, D-10."""
+    results = coverage.coverage_summary(adapt.findings(spark, d), F.col("zero"), "category").withColumnRenamed("category", "type")
+    known = spark.createDataFrame([("other",), ("missing-auth-test",), ("unknown",)], "type string")
+    return gate.evaluate(known, results, gate.failures(results, F.lit(33.3)))
+
+
+@query(f"""WITH {adapt.FINDINGS_SQL}, c AS (SELECT count(*) FILTER (WHERE upper(severity) = 'CRITICAL') AS a, count(*) FILTER (WHERE category = 'other') AS b FROM findings)
+SELECT a <= 10 AND b <= 1000000 AS passed, CASE WHEN a > 10 THEN 'CRITICAL: ' || a || ' > 10' ELSE '' END AS reasons FROM c""")
+def security_gate(spark: SparkSession, d: str) -> DataFrame:
+    """A-11."""
+    return gate.security_gate(adapt.findings(spark, d), {"CRITICAL": 10, "other": 1_000_000}).select("passed", F.array_join("reasons", "; ").alias("reasons"))
+
+
+# ---- versions, evidence, graph ---------------------------------------------------------------------------------------
+
+
+@query("""WITH a AS (SELECT p_partkey AS k, p_brand AS t FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, p_brand AS t FROM part WHERE p_partkey % 5 <> 0)
+SELECT coalesce(a.k, b.k) AS p_partkey, CASE WHEN b.k IS NULL THEN 'removed' WHEN a.k IS NULL THEN 'added' ELSE 'common' END AS change, b.k IS NULL AS breaking FROM a FULL JOIN b ON a.k = b.k""")
+def spec_diff(spark: SparkSession, d: str) -> DataFrame:
+    """J-12."""
+    part = adapt.table(spark, d, "part")
+    return compat.endpoint_changes(part.filter("p_partkey % 3 <> 0"), part.filter("p_partkey % 5 <> 0"), ["p_partkey"])
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS c FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_custkey AS k, list(DISTINCT o_orderstatus) AS c FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1)
+SELECT a.k AS o_custkey, array_to_string(list_sort([x FOR x IN a.c IF NOT list_contains(b.c, x)]), ',') AS removed FROM a JOIN b ON a.k = b.k WHERE len([x FOR x IN a.c IF NOT list_contains(b.c, x)]) > 0""")
+def removed_codes(spark: SparkSession, d: str) -> DataFrame:
+    """J-13, U-03."""
+    orders = adapt.table(spark, d, "orders")
+    old, new = (orders.filter(f"o_orderkey % 2 = {k}").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("codes")) for k in (0, 1))
+    return compat.removed_codes(old, new, ["o_custkey"], "codes").select("o_custkey", F.array_join("removed", ",").alias("removed"))
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey % 50 AS endpoint, l_suppkey % 10 AS name, l_returnflag AS flag, l_orderkey % 2 AS v FROM lineitem),
+g AS (SELECT v, endpoint // 2 AS endpoint, name, min(flag) AS type, bool_or(flag = 'A') AS required FROM p WHERE NOT (v = 0 AND name = 3) AND NOT (v = 1 AND name = 4) GROUP BY ALL),
+a AS (SELECT * FROM g WHERE v = 0), b AS (SELECT * FROM g WHERE v = 1),
+j AS (SELECT coalesce(a.endpoint, b.endpoint) AS endpoint, coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'parameter-removed' WHEN a.name IS NULL AND b.required THEN 'required-parameter-added' WHEN a.name IS NULL THEN 'optional-parameter-added'
+  WHEN a.type <> b.type THEN 'type-changed' END AS change FROM a FULL JOIN b ON a.endpoint = b.endpoint AND a.name = b.name)
+SELECT endpoint, name, change, change <> 'optional-parameter-added' AS breaking FROM j WHERE change IS NOT NULL""")
+def parameter_changes(spark: SparkSession, d: str) -> DataFrame:
+    """J-14."""
+    p = adapt.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("e"), (F.col("l_suppkey") % 10).alias("name"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 2).alias("v"))
+    g = p.filter("not (v = 0 and name = 3) and not (v = 1 and name = 4)").groupBy("v", F.expr("e div 2").alias("endpoint"), "name").agg(F.min("flag").alias("type"), F.bool_or(F.col("flag") == "A").alias("required"))
+    return compat.parameter_changes(g.filter("v = 0").drop("v"), g.filter("v = 1").drop("v"), ["endpoint"], ["name"])
+
+
+@query("""WITH s AS (SELECT p_partkey, p_partkey % 3 = 0 AS gone FROM part) SELECT count(*) AS total, count(*) FILTER (WHERE gone) AS affected, round((count(*) - count(*) FILTER (WHERE gone)) / count(*) * 100, 2) AS percent FROM s""")
+def compatibility_score(spark: SparkSession, d: str) -> DataFrame:
+    """A-12, J-16, P-22."""
+    part = adapt.table(spark, d, "part").select("p_partkey")
+    return compat.compatibility(part, compat.endpoint_changes(part, part.filter("p_partkey % 3 <> 0"), ["p_partkey"]), ["p_partkey"])
+
+
+@query("""WITH e AS (SELECT user_id, bool_or(event_type = 'view') AS ast, bool_or(event_type = 'click') AS tia, bool_or(event_type = 'signup') AS iast, bool_or(event_type = 'purchase') AS dast, bool_or(value > 50) AS asserted, bool_or(event_type = 'error') AS mocked FROM events GROUP BY user_id),
+l AS (SELECT user_id, CASE WHEN ast AND tia AND iast AND dast AND asserted THEN 3 WHEN ast AND tia AND (iast OR dast) THEN 2 WHEN ast AND tia THEN 1 ELSE 0 END AS r, mocked FROM e)
+SELECT user_id, ['low', 'medium', 'high', 'verified'][CASE WHEN mocked THEN least(r, 1) ELSE r END + 1] AS confidence, CASE WHEN mocked THEN 'mock-covered' ELSE 'api-covered' END AS class FROM l""")
+def confidence_cap(spark: SparkSession, d: str) -> DataFrame:
+    """P-11 to P-13, A-19."""
+    kinds = {"ast": "view", "tia": "click", "iast": "signup", "dast": "purchase", "mocked": "error"}
+    e = adapt.table(spark, d, "events").groupBy("user_id").agg(*[F.bool_or(F.col("event_type") == v).alias(k) for k, v in kinds.items()], F.bool_or(F.col("value") > 50).alias("asserted"))
+    level = evidence.confidence(*[F.col(x) for x in ("ast", "tia", "iast", "dast", "asserted")], F.col("mocked"))
+    return e.select("user_id", level.alias("confidence"), evidence.coverage_class(F.lit("performance"), F.col("mocked")).alias("class"))
+
+
+@query("""WITH e AS (SELECT user_id, list_position(['signup', 'click', 'view', 'purchase'], event_type) AS r FROM events WHERE event_type <> 'error')
+SELECT user_id, ['low', 'medium', 'high', 'verified'][min(r)] AS worst, ['low', 'medium', 'high', 'verified'][max(r)] AS best FROM e GROUP BY user_id""")
+def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
+    """A-16, R-4."""
+    names = dict(zip(("signup", "click", "view", "purchase"), evidence.CONFIDENCE))
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    e = adapt.table(spark, d, "events").filter("event_type <> 'error'").select("user_id", F.element_at(table, F.col("event_type")).alias("level"))
+    return e.groupBy("user_id").agg(evidence.least_level(F.col("level")).alias("worst"), evidence.highest_level(F.col("level")).alias("best"))
+
+
+@query(f"""WITH RECURSIVE {adapt.EDGES_SQL}, walk(root, node, depth) AS (
+  SELECT source, target, 1 FROM edges WHERE type = 'lives' UNION SELECT root, target, depth + 1 FROM walk JOIN edges ON node = source WHERE depth < 8)
+SELECT root, node, min(depth) AS depth FROM walk WHERE root <> node GROUP BY root, node""")
+def graph_reach(spark: SparkSession, d: str) -> DataFrame:
+    """G-01, G-02."""
+    edges = adapt.edges(spark, d)
+    starts = edges.filter("type = 'lives'").select(F.col("source").alias("root"))
+    return graph.reachable(edges, starts, depth=8)
+
+
+@query("""WITH a AS (SELECT n_nationkey AS id, n_name AS v, 'x' AS t FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT n_nationkey AS id, lower(n_name) AS v, CASE WHEN n_nationkey % 4 = 0 THEN 'y' ELSE 'x' END AS t FROM nation WHERE n_nationkey % 3 = 0)
+SELECT coalesce(a.id, b.id) AS id, coalesce(a.t, b.t) AS type, coalesce(b.v, a.v) AS name, a.v AS kept, coalesce(a.t <> b.t, false) AS conflict FROM a FULL JOIN b ON a.id = b.id""")
+def graph_merge(spark: SparkSession, d: str) -> DataFrame:
+    """U-06, G-04, R-7."""
+    n = adapt.table(spark, d, "nation")
+    a = n.filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("id"), F.lit("x").alias("type"), F.create_map(F.lit("name"), F.col("n_name"), F.lit("kept"), F.col("n_name")).alias("metadata"))
+    b = n.filter("n_nationkey % 3 = 0").select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 4 == 0, "y").otherwise("x").alias("type"), F.create_map(F.lit("name"), F.lower("n_name")).alias("metadata"))
+    return graph.merge(a, b).select("id", "type", F.try_element_at("metadata", F.lit("name")).alias("name"), F.try_element_at("metadata", F.lit("kept")).alias("kept"), "conflict")
+
+
+@query("""WITH t AS (SELECT l_orderkey AS test, l_partkey % 200 AS endpoint, l_linenumber + l_orderkey * 10 AS ord FROM lineitem), g AS (
+  SELECT endpoint AS id, count(DISTINCT test) AS n_tests, arg_max(['unit', 'api', 'e2e'][test % 3 + 1], ord) AS layer, bool_or(test % 11 = 0) AS mocked FROM t GROUP BY endpoint), e AS (SELECT unnest(range(210)) AS id)
+SELECT e.id, coalesce(n_tests, 0) AS n_tests, layer, coalesce(mocked, false) AS mocked FROM e LEFT JOIN g USING (id)""")
+def mapping_star(spark: SparkSession, d: str) -> DataFrame:
+    """J-20, Q7."""
+    edges = adapt.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("test"), (F.col("l_partkey") % 200).alias("endpoint"), (F.col("l_linenumber") + F.col("l_orderkey") * 10).alias("ord"))
+    layer = F.element_at(F.array(F.lit("unit"), F.lit("api"), F.lit("e2e")), (F.col("test") % 3 + 1).cast("int"))
+    tests = adapt.table(spark, d, "orders").select(F.col("o_orderkey").alias("test")).select("test", layer.alias("layer"), (F.col("test") % 11 == 0).alias("mocked"))
+    return graph.coverage_star(spark.range(210), edges, tests)
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, e AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls), c AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls WHERE elapsed > 60)
+SELECT e.id, c.id IS NOT NULL AS confirmed FROM e LEFT JOIN c USING (id)""")
+def runtime_confirmed(spark: SparkSession, d: str) -> DataFrame:
+    """J-17."""
+    calls = adapt.calls(spark, d)
+    known = calls.select(F.concat(F.lit("endpoint:"), "method", F.lit(":"), "path").alias("id")).distinct()
+    return graph.confirmed(known, calls.filter("elapsed > 60").select("method", "path", F.lit(None).cast("string").alias("normalized_path")))
+
+
+@query(f"""WITH {adapt.CALLS_SQL}, e AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls), c AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls WHERE elapsed > 60) SELECT id FROM e ANTI JOIN c USING (id)""")
+def unconfirmed_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """J-19, J-21, J-28."""
+    found = runtime_confirmed(spark, d)
+    return graph.unconfirmed(found.select("id"), found.filter("confirmed"))
+
+
+@query("""WITH r AS (SELECT s_suppkey AS id, s_acctbal > 0 AS reachable, s_suppkey % 4 = 0 AS auth_bypass, s_suppkey % 7 = 0 AS server_error, s_suppkey % 3 <> 0 AS known FROM supplier)
+SELECT id, unnest(list_filter([CASE WHEN NOT known AND reachable THEN 'undocumented-endpoint' END, CASE WHEN known AND NOT reachable THEN 'unreachable-endpoint' END, CASE WHEN auth_bypass THEN 'auth-bypass' END, CASE WHEN server_error THEN 'server-error' END], lambda x: x IS NOT NULL)) AS conflict FROM r""")
+def probe_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """J-18."""
+    s = adapt.table(spark, d, "supplier")
+    key = F.col("s_suppkey")
+    results = s.select(key.alias("id"), (F.col("s_acctbal") > 0).alias("reachable"), (key % 4 == 0).alias("auth_bypass"), (key % 7 == 0).alias("server_error"))
+    return graph.runtime_conflicts(results, s.filter("s_suppkey % 3 <> 0").select(key.alias("id"), F.lit(True).alias("auth_required")))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS test, l_suppkey AS endpoint, 'direct' AS via, 0 AS p, l_linenumber AS ord FROM lineitem WHERE l_quantity > 45), b AS (SELECT l_orderkey, l_suppkey, 'asserts', 1, l_linenumber FROM lineitem WHERE l_quantity > 40),
+u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT test, endpoint, via FROM (SELECT *, row_number() OVER (PARTITION BY test, endpoint ORDER BY p, ord) AS r FROM u) WHERE r = 1""")
+def test_endpoint_map(spark: SparkSession, d: str) -> DataFrame:
+    """J-22, J-23, J-26."""
+    t = adapt.table(spark, d, "lineitem")
+    parts = [t.filter(f"l_quantity > {q}").select(F.col("l_orderkey").alias("test"), F.col("l_suppkey").alias("endpoint"), F.lit(v).alias("via"), F.col("l_linenumber").alias("ord")) for q, v in ((45, "direct"), (40, "asserts"))]
+    return graph.test_mapping(*parts).select("test", "endpoint", "via")
+
+
+@query("""WITH RECURSIVE l AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey % 7 <> 0), w(s, x, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 0 UNION ALL SELECT s, p, n + 1 FROM w JOIN l ON x = c WHERE n < 5 AND c <> p)
+SELECT s AS start, arg_max(x, n) AS last, max(n)::INT AS length FROM w GROUP BY s""")
+def inheritance_chains(spark: SparkSession, d: str) -> DataFrame:
+    """G-09, X-25."""
+    part = adapt.table(spark, d, "part").filter("p_partkey > 0")
+    links = part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
+    return graph.chains(links, part.select(F.col("p_partkey").alias("start"))).select("start", "last", "length")
+
+
+# ---- sequences and sets ----------------------------------------------------------------------------------------------
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) > 3600 THEN 1 WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NULL THEN 1 ELSE 0 END AS n FROM events),
+g AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM s)
+SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM g GROUP BY user_id, session HAVING count(*) >= 2""")
+def sessionize(spark: SparkSession, d: str) -> DataFrame:
+    """W-01, gap form."""
+    return sequence.gap_sessions(adapt.table(spark, d, "events"), ["user_id"], "ts", ["ts", "event_id"], 3600)
+
+
+@query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role END AS r FROM conversations)
+SELECT conv_id, turn, last_value(r IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS back, first_value(r IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS ahead FROM l""")
+def look_windows(spark: SparkSession, d: str) -> DataFrame:
+    """W-03, W-04, X-13, X-15."""
+    lines = adapt.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).alias("r"))
+    both = sequence.look_ahead(sequence.look_back(lines, "r", "conv_id", "turn", 2), "r", "conv_id", "turn", 1)
+    return both.select("conv_id", "turn", "back", "ahead")
+
+
+@query("""SELECT o_custkey, o_orderkey AS start, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1000000000) AS stop FROM orders""")
+def text_segments(spark: SparkSession, d: str) -> DataFrame:
+    """W-05, X-08."""
+    marks = adapt.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("start"), F.lit(1_000_000_000).cast("long").alias("end"))
+    return sequence.segments(marks, "o_custkey", "start", "end").drop("end")
+
+
+@query("""WITH o AS (SELECT c_mktsegment AS type, count(*) AS total FROM customer GROUP BY 1), n AS (SELECT c_mktsegment AS type, count(*) AS total FROM customer WHERE c_mktsegment < 'F' AND c_acctbal > 0 GROUP BY 1)
+SELECT * FROM o WHERE type NOT IN (SELECT type FROM n) UNION ALL SELECT * FROM n""")
+def upsert_summary(spark: SparkSession, d: str) -> DataFrame:
+    """U-04, K-01."""
+    c = adapt.table(spark, d, "customer").withColumn("type", F.col("c_mktsegment"))
+    count = lambda x: x.groupBy("type").agg(F.count("*").alias("total"))
+    return keys.upsert(count(c), count(c.filter("type < 'F' and c_acctbal > 0")), "type")
+
+
+@query("""SELECT p_brand, count(*) AS n, floor(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) / count(*) * 100 + 0.5) AS whole, floor(-p_size_sum / 4.0::DOUBLE + 0.5)::BIGINT AS down FROM (SELECT *, sum(p_size) OVER (PARTITION BY p_brand) AS p_size_sum FROM part) GROUP BY p_brand, p_size_sum""")
+def rounding(spark: SparkSession, d: str) -> DataFrame:
+    """P-23, P-24: ties of negative numbers round towards positive infinity."""
+    g = adapt.table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.count_if(F.col("p_size") > 25).alias("big"), F.sum("p_size").alias("s"))
+    return g.select("p_brand", "n", numeric.percent_whole(F.col("big"), F.col("n")).alias("whole"), numeric.round_half_up(-F.col("s") / F.lit(4.0)).alias("down"))
+
+
+# ---- general relational layer, beyond the inventory -------------------------------------------------------------------
+
+
+@query("""SELECT n_name, o_orderstatus, count(*) AS n, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderstatus)""")
+def rel_rollup(spark: SparkSession, d: str) -> DataFrame:
+    o, c, n = (adapt.table(spark, d, t) for t in ("orders", "customer", "nation"))
+    joined = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    return joined.rollup("n_name", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)""")
+def rel_cube(spark: SparkSession, d: str) -> DataFrame:
+    return adapt.table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2""")
+def rel_top_per_group(spark: SparkSession, d: str) -> DataFrame:
+    w = W.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return adapt.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r")).filter("r <= 2")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000) EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'""")
+def rel_semi_except(spark: SparkSession, d: str) -> DataFrame:
+    c, o = adapt.table(spark, d, "customer"), adapt.table(spark, d, "orders")
+    return c.join(o.filter("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey").subtract(o.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")))
+
+
+@query("""SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
+def rel_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    days = F.window(F.col("ts").cast("timestamp"), "1 day")["start"]
+    return adapt.table(spark, d, "events").groupBy(days.cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"))
