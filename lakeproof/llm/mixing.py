@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BLANKS, BLANK_RE, materialize
+from .common import BLANK_RE, BLANKS, columns, materialize
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_COPIES = 3
@@ -114,4 +114,4 @@ def repeat_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies:
     counts = counts.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), "_copies")
     joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")))
     served = joined.filter(n_words(F.col("text")) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return served.select(*docs.columns)
+    return served.select(*columns(docs))

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RE, BLANKS, WORD_RE, let, words
+from .common import BLANK_RE, BLANKS, WORD_RE, columns, let, words
 
 SYMBOLS = "#*$%&|<>"
 #: Regular expressions of the line rules, valid for Java and RE2. A line must match ENDING; matching any other rejects it.
@@ -85,8 +85,8 @@ def repeated_words(ws: Column, width: int) -> Column:
     return F.when(n > width, let(hashes, covered)).otherwise(F.lit(0)).cast("long")
 
 
-def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """All rows and columns of docs with one struct column, `quality`, of measures and verdicts.
+def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text", out_column: str = "quality") -> DataFrame:
+    """All rows and columns of docs with one struct column, out_column, of measures and verdicts.
 
     Null texts count as empty and empty texts fail the word minimum. Repeated rows are judged alike.
     """
@@ -114,15 +114,13 @@ def assess(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataF
     lost = 100 * (b["word_chars"] - b["clean_chars"]) > rules.max_lost_percent * b["word_chars"]
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "clean_text", "clean_chars"]
     verdict = F.struct(*[b[f].alias(f) for f in fields], failed.alias("base_failed"), (~failed & ~lost).alias("kept"))
-    return out.withColumn("quality", verdict).drop(name, cleaned, base)
+    return out.withColumn(out_column, verdict).drop(name, cleaned, base)
 
 
 def keep_clean(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Accepted documents, with their failing lines cut and n_chars following the text."""
-    judged = assess(docs, rules)
-    return judged.filter("quality.kept").select(
-        *[
-            F.col("quality.clean_text").alias("text") if c == "text" else F.length("quality.clean_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c)
-            for c in docs.columns
-        ]
-    )
+    mine = "_lq_quality"
+    clean = F.col(mine)["clean_text"]
+    judged = assess(docs, rules, out_column=mine).filter(F.col(mine)["kept"])
+    changed = {"text": clean.alias("text"), "n_chars": F.length(clean).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
+    return judged.select(*[changed.get(name, c) for name, c in zip(docs.columns, columns(docs))])

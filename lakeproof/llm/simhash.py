@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import columns, materialize
 from .components import Forest, components
 
 WIDTH, SEED, DISTANCE = 4, 42, 4
@@ -191,7 +191,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     ids = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n_rows")), "simhash-kept")
     kept = docs.join(ids.select(F.col("doc_id").alias("_kept_id"), "_n_rows"), docs["doc_id"] == F.col("_kept_id"))
-    once = kept.filter("_n_rows = 1").select(*docs.columns)
+    once = kept.filter("_n_rows = 1").select(*columns(docs))
     if not ids.filter("_n_rows > 1").isEmpty():
-        once = once.unionByName(kept.filter("_n_rows > 1").select(*docs.columns).dropDuplicates(["doc_id"]))
+        once = once.unionByName(kept.filter("_n_rows > 1").select(*columns(docs)).dropDuplicates(["doc_id"]))
     return once.unionByName(docs.filter("doc_id is null"))
