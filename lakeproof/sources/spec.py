@@ -15,8 +15,14 @@ from ..functions.errors import categories_of
 from ..functions.paths import path_to_regex
 from ..operators.keys import last_by
 
+# Methods, the schema fields that limit a value, and the descriptions of transport controls.
 METHODS = ("get", "post", "put", "patch", "delete", "head", "options", "trace")
 LIMITS = ("enum", "pattern", "format", "minLength", "maxLength", "minimum", "maximum")
+TRANSPORT = {
+    "unspecified": "Verify that the API enforces secure transport (HTTPS/TLS)",
+    "https": "API servers use HTTPS – verify TLS configuration in tests",
+    "mixed": "API servers include non-HTTPS URLs – cryptographic transport security may be missing",
+}
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -123,12 +129,7 @@ def security_controls(spark: SparkSession, text: str) -> DataFrame:
     servers = [s.get("url", "") for s in spec.get("servers") or ()]
     secure = all(u.startswith(("https://", "/")) for u in servers)
     state = ("transport", "unspecified") if not servers else ("https", "https" if secure else "mixed")
-    notes = {
-        "unspecified": "Verify that the API enforces secure transport (HTTPS/TLS)",
-        "https": "API servers use HTTPS – verify TLS configuration in tests",
-        "mixed": "API servers include non-HTTPS URLs – cryptographic transport security may be missing",
-    }
-    rows.append((f"cryptography:{state[0]}", "cryptography", notes[state[1]], None, state[1]))
+    rows.append((f"cryptography:{state[0]}", "cryptography", TRANSPORT[state[1]], None, state[1]))
     for _, m, p, operation, item in _operations(spec):
         demands = operation["security"] if operation.get("security") is not None else spec.get("security") or []
         if demands:
