@@ -14,11 +14,11 @@ def reachable(edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] = (
     """G-02: (root, node, depth): nodes reached from each start (root), at their least depth, starts left out. Cycle-safe.
 
     One join per level from the frontier only; nodes that were reached before leave it. checkpoint() cuts the lineage where
-    the session names a folder for it. Ends with the frontier or at `depth`.
+    the cluster names a folder for it. Ends with the frontier or at `depth`.
     """
     steps = edges.filter(F.col("type").isin(*edge_types)) if edge_types else edges
     steps = steps.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct()
-    saved = (lambda d: d.checkpoint()) if starts.sparkSession.conf.get("spark.checkpoint.dir", None) else (lambda d: d.cache())
+    saved = (lambda d: d.checkpoint()) if starts.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
     seen = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier, found = seen, seen
     for level in range(1, depth + 1):
