@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import encoder
+from .tokens import Encoder
 
 WINDOW = 1024
 END_ID = 0
@@ -108,7 +108,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packing = encoder(tokenizer).encode, Packing(window)
+        encode, packing = Encoder(tokenizer).encode, Packing(window)
         base = TaskContext.get().partitionId() << 40
 
         def out(rows: list[tuple]) -> pa.RecordBatch:

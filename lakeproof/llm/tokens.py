@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import tiktoken
@@ -50,8 +49,3 @@ class Encoder:
             return np.array(self._bpe.encode_ordinary(text), "<u4")
         get, chunk = self._cache.get, self._chunk
         return np.frombuffer(b"".join([get(c) or chunk(c) for c in CHUNK.findall(text)]), "<u4")
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
