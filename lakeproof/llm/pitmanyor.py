@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,18 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 9, types)], names=names)
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Compressed bytes of a number array, the bytes of equal place together: counts and shares are small or repeat."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
 def _row(block: int, kind: int, bucket: int = 0, a=b"", b=b"", c=b"", d=b"", x: float = 0.0, y: float = 0.0) -> tuple:
     return block, kind, bucket, x, y, *(p if isinstance(p, bytes) else p.tobytes() for p in (a, b, c, d))
 
@@ -155,8 +168,8 @@ class Block:
 
     def __init__(self, row: tuple) -> None:
         self.id = row[0]
-        self.vocab, self.tokens = _u64(row[5]), np.frombuffer(row[6], np.uint32)
-        self.lengths = np.frombuffer(row[7], np.int64)
+        self.vocab, self.tokens = _u64(row[5]), unpack(row[6], np.uint32)
+        self.lengths = unpack(row[7], np.int64)
         n = self.lengths.size
         self.doc_ids = np.frombuffer(row[8][: 8 * n], np.int64)
         flags = np.frombuffer(row[8][8 * n :], np.uint8)
@@ -169,7 +182,7 @@ class Block:
     def by_word(self, rows: list[tuple], buckets: int, column: int, kind: type) -> np.ndarray:
         """What the word buckets sent, by local number. rows are in order of buckets."""
         out = np.zeros(self.vocab.size, kind)
-        out[self.word_order(buckets)] = np.frombuffer(b"".join(r[column] for r in rows), kind)
+        out[self.word_order(buckets)] = np.concatenate([unpack(r[column], kind) for r in rows])
         return out
 
     def pairs(self, counts: np.ndarray, total: float, buckets: int, s: Settings) -> Pairs:
@@ -202,7 +215,7 @@ class Pairs:
 
     def collect(self, rows: list[tuple], column: int) -> np.ndarray:
         out = np.zeros(self.u.size, np.float32)
-        out[np.argsort(self.bucket, kind="stable")] = np.frombuffer(b"".join(r[column] for r in rows), np.float32)
+        out[np.argsort(self.bucket, kind="stable")] = np.concatenate([unpack(r[column], np.float32) for r in rows])
         return out
 
 
@@ -222,7 +235,7 @@ def _ask_words(block: Block, buckets: int, kind: int, *values: np.ndarray) -> li
     """A packet for each word bucket: hashes, and the values of the same words."""
     order = block.word_order(buckets)
     at = _word_bucket(block.vocab, buckets)[order]
-    return [_row(block.id, kind, k, block.vocab[order[s]], *(v[order[s]] for v in values)) for k, s in _slices(at)]
+    return [_row(block.id, kind, k, block.vocab[order[s]], *(pack(v[order[s]]) for v in values)) for k, s in _slices(at)]
 
 
 # ---- passes ----------------------------------------------------------------------------------------------------------
@@ -235,7 +248,7 @@ def _cut_blocks(buckets: int, s: Settings):
             hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in list(number)[2:]), np.uint64, len(number) - 2)
             flags = np.array([(i is not None) + 2 * held_out(i) for i in ids], np.uint8)
             meta = np.array([i or 0 for i in ids], np.int64).tobytes() + flags.tobytes()
-            text = _row(part + made, TEXT, 0, np.concatenate((MARKS, hashes)), np.concatenate(tokens), np.array(lengths, np.int64), meta)
+            text = _row(part + made, TEXT, 0, np.concatenate((MARKS, hashes)), pack(np.concatenate(tokens)), pack(np.array(lengths, np.int64)), meta)
             block = Block(text)
             train = np.repeat(~block.held_out, block.lengths)
             n = np.bincount(block.tokens[train], minlength=block.vocab.size)
@@ -270,13 +283,13 @@ def _cut_blocks(buckets: int, s: Settings):
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def bucket(rows: list[tuple]) -> list[tuple]:
-        hashes, n = np.concatenate([_u64(r[5]) for r in rows]), np.concatenate([np.frombuffer(r[6], np.int64) for r in rows])
+        hashes, n = np.concatenate([_u64(r[5]) for r in rows]), np.concatenate([unpack(r[6], np.int64) for r in rows])
         key, inverse = np.unique(hashes, return_inverse=True)
         c = np.bincount(inverse, n, minlength=key.size)
         token = key != MARKS[START]
         ends = np.cumsum([len(r[5]) // 8 for r in rows])
         back = c[inverse].astype(np.int64)
-        out = [_row(r[0], WORDS, r[2], back[e - len(r[5]) // 8 : e]) for r, e in zip(rows, ends)]
+        out = [_row(r[0], WORDS, r[2], pack(back[e - len(r[5]) // 8 : e])) for r, e in zip(rows, ends)]
         return [*out, _row(-1, WORD_SUMS, rows[0][2], x=float(c[token].sum()), y=float((c[token] > 0).sum()))]
 
     return _out(_groups(batches, 2), bucket)
@@ -296,7 +309,7 @@ def _ask_pairs(buckets: int, total: float, s: Settings):
             cu, size = np.unique(u[part], return_counts=True)
             heads = np.concatenate((me.vocab[cu].view(np.uint8), size.astype(np.uint32).view(np.uint8), (counts[cu] * 20.0 * buckets > total).astype(np.uint8)))
             words = np.ascontiguousarray(me.vocab[w[part]].view(np.uint8).reshape(-1, 8)[:, :6])
-            out.append(_row(me.id, ASK_PAIRS, k, heads, words, n[part], code[w[part]]))
+            out.append(_row(me.id, ASK_PAIRS, k, heads, words, pack(n[part]), pack(code[w[part]])))
         return out
 
     return lambda batches: _out(_groups(batches, 0), block)
@@ -316,8 +329,8 @@ def _seat_pairs(total: float, kinds: float, s: Settings):
             full[:, :6] = six
             ws.append(full.view(np.uint64).ravel())
             sizes.append(len(six))
-        u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate([np.frombuffer(r[7], np.uint32) for r in rows])
-        code, wide = np.concatenate([np.frombuffer(r[8], np.uint8) for r in rows]), np.concatenate(wides)
+        u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate([unpack(r[7], np.uint32) for r in rows])
+        code, wide = np.concatenate([unpack(r[8], np.uint8) for r in rows]), np.concatenate(wides)
         _, first, inverse = np.unique(_mix(u) * np.uint64(0x9E3779B97F4A7C15) + _mix(w + np.uint64(11)), return_index=True, return_inverse=True)
         c = np.bincount(inverse, n, minlength=first.size).astype(np.int64)
         holders = np.bincount(inverse, n > 0, minlength=first.size)
@@ -332,7 +345,7 @@ def _seat_pairs(total: float, kinds: float, s: Settings):
         out, e = [], 0
         for r, size in zip(rows, sizes):
             mine = inverse[e : e + size]
-            out.append(_row(r[0], PAIRS, r[2], left[mine], np.where(n[e : e + size] > 0, share[mine], np.float32(0))))
+            out.append(_row(r[0], PAIRS, r[2], pack(left[mine]), pack(np.where(n[e : e + size] > 0, share[mine], np.float32(0)))))
             e += size
         return out
 
@@ -348,7 +361,7 @@ def _ask_tables(buckets: int, total: float, s: Settings):
         me = Block(rows[0])
         p = me.pairs(me.by_word(_by_kind(rows, WORDS), buckets, 5, np.int64), total, buckets, s)
         share = p.collect(_by_kind(rows, PAIRS), 6)
-        dish, context = (np.bincount(x, share, minlength=me.vocab.size) for x in (p.w, p.u))
+        dish, context = (np.bincount(x, share, minlength=me.vocab.size).astype(np.float32) for x in (p.w, p.u))
         return _ask_words(me, buckets, ASK_TABLES, dish, context)
 
     return lambda batches: _out(_groups(batches, 0), block)
@@ -360,18 +373,18 @@ def _seat_root(kinds: float, s: Settings):
     def bucket(rows: list[tuple]) -> list[tuple]:
         hashes = np.concatenate([_u64(r[5]) for r in rows])
         key, inverse = np.unique(hashes, return_inverse=True)
-        dish, context = (np.bincount(inverse, np.concatenate([np.frombuffer(r[k], np.float64) for r in rows]), minlength=key.size) for k in (6, 7))
+        dish, context = (np.bincount(inverse, np.concatenate([unpack(r[k], np.float32) for r in rows]), minlength=key.size) for k in (6, 7))
         customers = np.round(dish).astype(np.int64)
         rng = np.random.default_rng([s.seed, rows[0][2], 1])
         # the root's tables elsewhere number about the different words; its parent is uniform over these and one more
         opening = np.full(key.size, np.log(s.root_strength + s.root_discount * kinds) - np.log(kinds + 1.0))
         kept = [draw_tables(customers, opening, table, s.root_discount, rng) for _ in range(s.sweeps - s.burn_in)]
         tables = np.mean(kept, axis=0)
-        left = (dish - s.root_discount * tables).astype(np.float64)
+        left, context = (dish - s.root_discount * tables).astype(np.float32), context.astype(np.float32)
         ends, out = np.cumsum([len(r[5]) // 8 for r in rows]), []
         for r, e in zip(rows, ends):
             mine = inverse[e - len(r[5]) // 8 : e]
-            out.append(_row(r[0], TABLES, r[2], left[mine], context[mine]))
+            out.append(_row(r[0], TABLES, r[2], pack(left[mine]), pack(context[mine])))
         return [*out, _row(-1, TABLE_SUMS, rows[0][2], x=float(dish.sum()), y=float(tables.sum()))]
 
     return lambda batches: _out(_groups(batches, 2), bucket)
@@ -388,9 +401,9 @@ def _score(buckets: int, total: float, kinds: float, customers: float, tables: f
             p = me.pairs(counts, total, buckets, s)
             left = p.collect(_by_kind(rows, PAIRS), 5)[p.inverse]
             got = _by_kind(rows, TABLES)
-            root = me.by_word(got, buckets, 5, np.float64) + (s.root_strength + s.root_discount * tables) / (kinds + 1.0)
+            root = me.by_word(got, buckets, 5, np.float32).astype(np.float64) + (s.root_strength + s.root_discount * tables) / (kinds + 1.0)
             root = np.maximum(root, 1e-300) / (s.root_strength + customers)
-            opened = me.by_word(got, buckets, 6, np.float64)
+            opened = me.by_word(got, buckets, 6, np.float32).astype(np.float64)
             u = p.contexts
             c = counts[me.tokens]
             chance = (left + (s.strength + s.discount * opened[u]) * root[me.tokens]) / (s.strength + counts[u])
