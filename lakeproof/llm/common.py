@@ -59,7 +59,9 @@ def materialize(df: DataFrame, label: str, *partitions: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Has the JVM forget finished passes, upon which Spark deletes their shuffle files."""
+    """Has the JVM forget finished passes, upon which Spark deletes their shuffle files. The session holds on to its last query,
+    so that becomes a trivial one first."""
+    spark.range(1).write.format("noop").mode("overwrite").save()
     gc.collect()
     spark._jvm.System.gc()
 
