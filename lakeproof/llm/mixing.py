@@ -112,6 +112,7 @@ def repeat_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies:
     found = mix(docs, weights, max_copies, seed).filter("copies > 0")
     counts = materialize(found.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")), "mix-copies")
     counts = counts.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), "_copies")
-    joined = docs.join(counts, docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")))
+    # the counts grow with the corpus: they are merged at every size, never broadcast
+    joined = docs.join(counts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")))
     served = joined.filter(n_words(F.col("text")) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return served.select(*columns(docs))

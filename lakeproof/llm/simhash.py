@@ -190,7 +190,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """Docs without near-duplicates: of each component the row of the smallest doc_id; rows without doc_id all stay."""
     found = near_duplicates(docs)
     ids = materialize(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("_n_rows")), "simhash-kept")
-    kept = docs.join(ids.select(F.col("doc_id").alias("_kept_id"), "_n_rows"), docs["doc_id"] == F.col("_kept_id"))
+    # the ids grow with the corpus: they are merged at every size, never broadcast
+    kept = docs.join(ids.select(F.col("doc_id").alias("_kept_id"), "_n_rows").hint("merge"), docs["doc_id"] == F.col("_kept_id"))
     once = kept.filter("_n_rows = 1").select(*columns(docs))
     if not ids.filter("_n_rows > 1").isEmpty():
         once = once.unionByName(kept.filter("_n_rows > 1").select(*columns(docs)).dropDuplicates(["doc_id"]))
