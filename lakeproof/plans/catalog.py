@@ -52,7 +52,7 @@ _PAGE_PATHS = rf"""p AS (SELECT page_id, CASE WHEN {_URL_PATH} = '' THEN '/' ELS
   FOR s IN string_split(path, '/')], '/') AS template FROM p)"""
 
 
-@query(f"WITH {_PAGE_PATHS} SELECT template, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY template".replace("array_to_string([CASE", "array_to_string([CASE").replace("FOR s IN", "FOR s IN"))
+@query(f"WITH {_PAGE_PATHS} SELECT template, count(*) AS n, min(page_id) AS first_page FROM t GROUP BY template")
 def path_templates(spark: SparkSession, d: str) -> DataFrame:
     """X-11, X-23."""
     pages = adapt.table(spark, d, "pages").select("page_id", paths.normalize(paths.url_path(F.col("url"))).alias("template"))
@@ -187,7 +187,7 @@ def grouping_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE page_id % 5 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '/e2e/a.py' WHEN 2 THEN '/api/x.api.rb' WHEN 3 THEN '/A.JAVA' ELSE '' END AS path FROM pages)
 SELECT page_id, CASE lower(regexp_extract(path, '\\.([^.]*)$', 1)) WHEN 'ts' THEN 'typescript' WHEN 'py' THEN 'python' WHEN 'rb' THEN 'ruby' WHEN 'java' THEN 'java' END AS language,
-  CASE WHEN page_id % 5 = 1 THEN 'e2e' WHEN page_id % 5 = 2 THEN 'api' ELSE 'unit' END AS layer, CASE WHEN page_id % 5 = 1 THEN 'medium' WHEN page_id % 5 = 2 THEN 'high' ELSE 'low' END AS confidence FROM f""".replace("\\\\", "\\"))
+  CASE WHEN page_id % 5 = 1 THEN 'e2e' WHEN page_id % 5 = 2 THEN 'api' ELSE 'unit' END AS layer, CASE WHEN page_id % 5 = 1 THEN 'medium' WHEN page_id % 5 = 2 THEN 'high' ELSE 'low' END AS confidence FROM f""")
 def test_layers(spark: SparkSession, d: str) -> DataFrame:
     """X-01, X-16."""
     tails = F.element_at(F.array(*[F.lit(x) for x in (".spec.ts", "/e2e/a.py", "/api/x.api.rb", "/A.JAVA", "")]), (F.col("page_id") % 5 + 1).cast("int"))
