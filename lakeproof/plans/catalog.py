@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import errors, evidence, extract, numeric, paths, risk
-from ..operators import compat, coverage, gate, graph, keys, load, sequence
+from ..functions import errors, evidence, extract, numeric, paths, risk, signals
+from ..operators import compat, coverage, gate, graph, intelligence, keys, load, sequence
 from . import adapt
 
 QUERIES: dict = {}
@@ -496,3 +496,51 @@ def rel_semi_except(spark: SparkSession, d: str) -> DataFrame:
 def rel_tumbling(spark: SparkSession, d: str) -> DataFrame:
     days = F.window(F.col("ts").cast("timestamp"), "1 day")["start"]
     return adapt.table(spark, d, "events").groupBy(days.cast("timestamp_ntz").alias("day"), "event_type").agg(F.count("*").alias("n"))
+
+
+# ---- word lists and recommendations -----------------------------------------------------------------------------------
+
+
+def _any_word(column: str, words) -> str:
+    return " OR ".join(f"contains(lower({column}), '{w}')" for w in words)
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (WHERE {_any_word('text', w)}) AS n FROM documents" for c, w in signals.SECURITY_WORDS.items()))
+def security_words(spark: SparkSession, d: str) -> DataFrame:
+    """F-13, J-07: texts with a word of each security category, in one pass."""
+    hits = F.array(*[F.when(errors.contains_any(F.col("text"), w), F.lit(c)) for c, w in signals.SECURITY_WORDS.items()])
+    found = adapt.table(spark, d, "documents").select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("category")).groupBy("category").agg(F.count("*").alias("n"))
+    domain = spark.createDataFrame([(c,) for c in signals.SECURITY_WORDS], "category string")
+    return domain.join(found, "category", "left").na.fill(0, ["n"])
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS category, count(*) FILTER (WHERE {_any_word('text', w)}) AS n FROM conversations" for c, w in errors.DESCRIPTION_WORDS.items() if c not in errors.CONTENT_PATTERNS))
+def error_words(spark: SparkSession, d: str) -> DataFrame:
+    """F-07, J-05: turns that hint at each error category told by words alone."""
+    kinds = [c for c in errors.CATEGORIES if c not in errors.CONTENT_PATTERNS]
+    t = adapt.table(spark, d, "conversations").agg(*[F.count_if(errors.hints_at(F.lit(c), F.col("text"), F.col("text"))).alias(c) for c in kinds])
+    return t.select(F.inline(F.array(*[F.struct(F.lit(c).alias("category"), F.col(f"`{c}`").alias("n")) for c in kinds])))
+
+
+_AUTH = (("flask", "@jwt_required"), ("flask", "jwt_optional"), ("express", "passport.authenticate"), ("hapi", "auth: mode try"), ("spring", "@Secured"), ("other", "x"))
+
+
+@query("""WITH k AS (SELECT p_partkey, p_partkey % 6 AS i FROM part)
+SELECT p_partkey, CASE WHEN i IN (0, 1, 2, 3) THEN 'jwt' WHEN i = 4 THEN 'custom' END AS type, CASE WHEN i IN (0, 2, 4) THEN true WHEN i IN (1, 3) THEN false END AS required FROM k""")
+def auth_classes(spark: SparkSession, d: str) -> DataFrame:
+    """P-15."""
+    pick = lambda n: F.element_at(F.array(*[F.lit(x[n]) for x in _AUTH]), (F.col("p_partkey") % 6 + 1).cast("int"))
+    found = adapt.table(spark, d, "part").select("p_partkey", signals.auth_class(pick(0), pick(1)).alias("a"))
+    return found.select("p_partkey", "a.type", "a.required")
+
+
+@query(f"""WITH {adapt.FINDINGS_SQL.replace('o_orderkey % 7 = 0 AS signal', "category = 'missing-auth-test' AS signal")}, {adapt.SCORED_SQL},
+t AS (SELECT *, CASE category WHEN 'missing-auth-test' THEN 'auth-test' WHEN 'missing-flow-step-test' THEN 'integration-flow-test' WHEN 'compatibility-risk' THEN 'compatibility-test' ELSE 'positive-api-test' END AS test_type FROM ranked),
+w AS (SELECT *, max(score) OVER (PARTITION BY test_type, path ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM t)
+SELECT test_type, path, max(score) AS score, string_agg(id::VARCHAR, ',' ORDER BY ord) AS linked, arg_max(CASE WHEN signal OR zero THEN 'high' ELSE 'medium' END, ord) AS confidence FROM w WHERE pm IS NULL OR score > pm GROUP BY test_type, path""")
+def recommendations(spark: SparkSession, d: str) -> DataFrame:
+    """D-08, P-10, A-14: recommendations of findings that carry their own signals."""
+    found = adapt.findings(spark, d).select(
+        F.col("id").cast("string").alias("id"), F.lit(0).alias("part"), "ord", F.lit("coverage").alias("source"), "category", "severity", F.lit("t").alias("title"), F.lit(None).cast("string").alias("method"), "path", F.col("zero").alias("zero_coverage")
+    )
+    return intelligence.recommendations(found).select("test_type", "path", "score", F.array_join("linked", ",").alias("linked"), "confidence")
