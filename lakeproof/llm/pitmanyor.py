@@ -445,6 +445,7 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     counted = materialize(to_buckets(cut.filter(f"kind = {ASK_WORDS}"), _count_words), "lm-words", "kind")
     total, kinds = sums(counted.filter(f"kind = {WORD_SUMS}"))
     words = counted.filter(f"kind = {WORDS}")
+    release(spark)
 
     asked = to_blocks(texts.unionAll(words), _ask_pairs(buckets, total, s))
     pairs = materialize(to_buckets(asked, _seat_pairs(total, kinds, s)), "lm-pairs")
