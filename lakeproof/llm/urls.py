@@ -22,12 +22,13 @@ LINK = r"""(?i)href\s*=\s*["']?([a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 @dataclass(frozen=True)
 class Propagation:
-    """damping: share passed along links. rounds: propagation steps. threshold: a host is blocked if its distrust is above
-    threshold times its trust."""
+    """damping: share passed along links. rounds: least propagation steps; more follow until no host is new and no score moves by
+    more than tolerance times itself. threshold: a host is blocked if its distrust is above threshold times its trust."""
 
     damping: float = 0.85
     rounds: int = 8
     threshold: float = 1.0
+    tolerance: float = 1e-9
 
 
 def _rest(url: Column) -> Column:
@@ -64,20 +65,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, p: Propagation = Propagation()) -> DataFrame:
-    """(kind, host, score) after p.rounds from edges (kind, src, dst, share) and seeds (kind, host, mass).
+    """(kind, host, score) once settled, from edges (kind, src, dst, share) and seeds (kind, host, mass).
 
     score = (1 - damping) * mass + damping * sum of share * score of the sources. What a host without links would pass on is
-    lost. Each round is written, so a lost executor repeats one round only.
+    lost. Scores only grow, and a host that evidence reaches has a row however small its score. Each round is written, so a
+    lost executor repeats one round only.
     """
     own = seeds.select("kind", "host", (F.col("mass") * (1 - p.damping)).alias("score"))
     own = materialize(own, "urls-own")
-    now = own
-    for _ in range(p.rounds):
-        sent = edges.join(now.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * p.damping).alias("score"))
-        after = materialize(own.unionByName(sent).groupBy("kind", "host").agg(F.sum("score").alias("score")), "urls-round")
+    now, rounds, moving = own, 0, not (own.isEmpty() or edges.isEmpty())
+    none = F.lit(None).cast("double").alias("before")
+    while moving or 0 < rounds < p.rounds:
+        sent = edges.join(now.select("kind", F.col("host").alias("src"), "score"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("score") * F.col("share") * p.damping).alias("score"), none)
+        held = own.select("*", none).unionByName(sent).unionByName(now.select("kind", "host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
+        after = materialize(held.groupBy("kind", "host").agg(F.sum("score").alias("score"), F.max("before").alias("before")), "urls-round")
+        moving = not after.filter(F.col("before").isNull() | (F.col("score") - F.col("before") > p.tolerance * F.col("score"))).isEmpty()
+        rounds += 1
         if now is not own:
             discard(now)
-        now = after
+        now = after.select("kind", "host", "score")
     return now
 
 
@@ -85,7 +91,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, p: Propaga
     """(page_id, host, path, rule, verdict, trust, distrust) for each row of pages (page_id, url, html).
 
     A null url or one without `://` has an empty host and path, no rule and no evidence, and is allowed, as is every host that
-    no evidence reaches or whose trust and distrust tie. Null html has no links. Repeated rows count as often as they occur.
+    no evidence reaches or whose trust and distrust tie, up to ten times p.tolerance. Null html has no links. Repeated rows count
+    as often as they occur. trust and distrust are rounded to 12 decimals; verdicts come from the scores as they are.
     """
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
     judged = judged.withColumn("found", rule_of(F.col("host"), F.col("path"), rules))
@@ -101,14 +108,14 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, p: Propaga
     both = links.select(F.lit("trust").alias("kind"), "src", "dst", "links").unionByName(links.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))
     out = materialize(both.groupBy("kind", "src").agg(F.sum("links").alias("all_links")), "urls-degrees")
     edges = materialize(both.join(out, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("all_links")).alias("share")), "urls-edges")
-    rounds = p if totals and not links.isEmpty() else Propagation(p.damping, 0, p.threshold)
-    scores = propagate(edges, seeds, rounds)
-    by_host = scores.groupBy(F.col("host").alias("_host")).agg(
-        F.round(F.sum(F.when(F.col("kind") == "trust", F.col("score")).otherwise(0.0)), 12).alias("trust"),
-        F.round(F.sum(F.when(F.col("kind") == "distrust", F.col("score")).otherwise(0.0)), 12).alias("distrust"),
-    )
-    by_host = materialize(by_host, "urls-hosts")
+    scores = propagate(edges, seeds, p)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")))
+    by_host = scores.groupBy(F.col("host").alias("_host")).agg(of("trust").alias("_trust"), of("distrust").alias("_distrust"))
+    # distrust without any trust outweighs it, even where it is too small for a double
+    over = F.col("_distrust").isNotNull() & (F.col("_trust").isNull() | (F.col("_distrust") > p.threshold * F.col("_trust") * (1 + 10 * p.tolerance)))
+    rounded = lambda c: F.round(F.coalesce(F.col(f"_{c}"), F.lit(0.0)), 12).alias(c)
+    by_host = materialize(by_host.select("_host", over.alias("over"), rounded("trust"), rounded("distrust")), "urls-hosts")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    joined = narrow.join(by_host, F.col("host") == F.col("_host"), "left").select("page_id", "host", "path", "rule", "ruled", zero("trust"), zero("distrust"))
-    verdict = F.coalesce("ruled", F.when(F.col("distrust") > p.threshold * F.col("trust"), "block").otherwise("allow"))
+    joined = narrow.join(by_host, F.col("host") == F.col("_host"), "left").select("page_id", "host", "path", "rule", "ruled", "over", zero("trust"), zero("distrust"))
+    verdict = F.coalesce("ruled", F.when(F.col("over"), "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "trust", "distrust")

@@ -74,5 +74,17 @@ def test_judgement_matches_a_plain_version(spark, linked):
     assert not linked or {v for *_, r, v in got if r is None} == {"allow", "block"}
 
 
+def test_distrust_reaches_far_and_weak(spark):
+    """A chain of 12 links to a blocked host, and hosts three links from one blocked page among 100,000, each of many linkers."""
+    link = lambda *hosts: "".join(f"<a href='//{h}/'>" for h in hosts)
+    pages = [("http://b.com/de/1", None)] + [(f"http://c{k}.net/", link("b.com" if k == 0 else f"c{k - 1}.net")) for k in range(12)]
+    weak = [("http://w.com/de/1", None)] + [(f"http://x{k}.net/", link("w.com")) for k in range(1000)] + [(f"http://y{k}.net/", link("x0.net")) for k in range(1000)] + [(f"http://z{k}.net/", link("y0.net")) for k in range(1000)]
+    pages += weak + [("http://far.net/", link("nowhere.net"))]
+    many = spark.range(100_000).selectExpr("id as page_id", "'http://seed.com/de/1' as url", "cast(null as string) as html")
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pages)], "page_id long, url string, html string").unionByName(many)
+    got = {r.host: r.verdict for r in urls.judge(df).filter("host <> 'seed.com'").collect()}
+    assert {h for h, v in got.items() if v == "allow"} == {"far.net"}
+
+
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
