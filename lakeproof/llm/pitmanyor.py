@@ -8,7 +8,9 @@ contexts as its customers.
 The corpus is cut into blocks of local word numbers. Per block, counts are summed before they are dealt out to buckets of words
 or of word pairs, packed as one row for each block and bucket; buckets send back what the block asked for, in the block's own
 order. No model is collected or broadcast: it stays dealt out, and grows with the corpus. Frequent contexts are dealt by pair,
-so no bucket depends on the frequency of one word. Each pass is written to the shared folder.
+so no bucket depends on the frequency of one word; they are seated first, one pass for each sweep, and between sweeps their
+tables are summed over all buckets (one number for each such context, at most 20 times the buckets). Each pass is written to
+the shared folder.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import discard, materialize, release
 
 #: Hashes and local numbers of the end token and of the start of a text, which is only a context.
 END, START = 0, 1
 MARKS = np.array([1, 2], np.uint64)
 PACKET = "block long, kind int, bucket int, x double, y double, a binary, b binary, c binary, d binary"
-TEXT, ASK_WORDS, WORDS, WORD_SUMS, ASK_PAIRS, PAIRS, ASK_TABLES, TABLES, TABLE_SUMS = range(9)
+TEXT, ASK_WORDS, WORDS, WORD_SUMS, ASK_PAIRS, PAIRS, ASK_TABLES, TABLES, TABLE_SUMS, SEATS = range(10)
 
 
 @dataclass(frozen=True)
@@ -295,12 +297,16 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return _out(_groups(batches, 2), bucket)
 
 
-def _ask_pairs(buckets: int, total: float, s: Settings):
+def _ask_pairs(buckets: int, total: float, s: Settings, wide_only: bool = False):
+    """Packets of a block's pairs for their buckets; wide_only: only training pairs of contexts that are dealt by pair."""
+
     def block(rows: list[tuple]) -> list[tuple]:
         me = Block(rows[0])
         counts = me.by_word(rows[1:], buckets, 5, np.int64)
         p = me.pairs(counts, total, buckets, s)
         order = np.argsort(p.bucket, kind="stable")
+        if wide_only:
+            order = order[p.wide[order] & (p.n[order] > 0)]
         u, w, n, wide, at = p.u[order], p.w[order], p.n[order], p.wide[order], p.bucket[order]
         code = np.round(8 * np.log2(np.maximum(counts, 1) + 1.0)).astype(np.uint8)
         out = []
@@ -315,37 +321,125 @@ def _ask_pairs(buckets: int, total: float, s: Settings):
     return lambda batches: _out(_groups(batches, 0), block)
 
 
-def _seat_pairs(total: float, kinds: float, s: Settings):
+@dataclass
+class Dishes:
+    """The different pairs of a bucket: context hashes, customers, blocks with customers, whether dealt by pair, and the word's
+    count code; number: of each asked pair, whose counts are asked; sizes: pairs of each packet."""
+
+    u: np.ndarray
+    c: np.ndarray
+    holders: np.ndarray
+    wide: np.ndarray
+    code: np.ndarray
+    number: np.ndarray
+    asked: np.ndarray
+    sizes: list[int]
+
+
+def _dishes(rows: list[tuple]) -> Dishes:
+    us, wides, ws, sizes = [], [], [], []
+    for r in rows:
+        k = len(r[5]) // 13
+        head = np.frombuffer(r[5], np.uint8)
+        size = head[8 * k : 12 * k].copy().view(np.uint32)
+        us.append(np.repeat(head[: 8 * k].copy().view(np.uint64), size))
+        wides.append(np.repeat(head[12 * k :], size))
+        six = np.frombuffer(r[6], np.uint8).reshape(-1, 6)
+        full = np.zeros((len(six), 8), np.uint8)
+        full[:, :6] = six
+        ws.append(full.view(np.uint64).ravel())
+        sizes.append(len(six))
+    u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate([unpack(r[7], np.uint32) for r in rows])
+    code, wide = np.concatenate([unpack(r[8], np.uint8) for r in rows]), np.concatenate(wides)
+    _, first, inverse = np.unique(_mix(u) * np.uint64(0x9E3779B97F4A7C15) + _mix(w + np.uint64(11)), return_index=True, return_inverse=True)
+    c = np.bincount(inverse, n, minlength=first.size).astype(np.int64)
+    holders = np.bincount(inverse, n > 0, minlength=first.size)
+    return Dishes(u[first], c, holders, (wide[first] > 0) & (c > 0), code[first], inverse, n, sizes)
+
+
+def _parent(code: np.ndarray, total: float, kinds: float) -> np.ndarray:
+    return np.minimum(2.0 ** (code / 8.0) / (total + kinds + 1.0), 1.0)
+
+
+def _open_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SEATS of every bucket before the first sweep: context hashes; per dish in the order of Dishes its context's number,
+    customers and code, and its tables and their sum over the averaged sweeps."""
+
+    def bucket(rows: list[tuple]) -> list[tuple]:
+        d = _dishes(rows)
+        contexts, at = np.unique(d.u, return_inverse=True)
+        t = np.minimum(d.c, 1)
+        return [_row(-1, SEATS, rows[0][2], contexts, pack(at.astype(np.uint32)), pack(np.concatenate((d.c, d.code.astype(np.int64)))), pack(np.concatenate((t, np.zeros_like(t)))))]
+
+    return _out(_groups(batches, 2), bucket)
+
+
+def _halves(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    x = unpack(data, np.int64).copy()
+    return x[: x.size // 2], x[x.size // 2 :]
+
+
+def _wide_tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, tables) of every context in the SEATS of a task's buckets."""
+    sums: dict[int, int] = {}
+    for rows in _groups(batches, 2):
+        for r in rows:
+            contexts = np.frombuffer(r[5], np.int64)
+            tables = np.bincount(unpack(r[6], np.uint32), _halves(r[8])[0], minlength=contexts.size).astype(np.int64)
+            for u, t in zip(contexts.tolist(), tables.tolist()):
+                sums[u] = sums.get(u, 0) + t
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(sums.values()), pa.int64())], names=["context", "tables"])
+
+
+def _sweep_wide(contexts: np.ndarray, tables: np.ndarray, sweep: int, total: float, kinds: float, s: Settings):
+    """Draws the tables of all dishes in SEATS, given the tables of whole contexts, whose hashes are sorted."""
+    stirlings = stirling(s.discount)
+
     def bucket(rows: list[tuple]) -> list[tuple]:
-        us, wides, ws, sizes = [], [], [], []
+        out = []
         for r in rows:
-            k = len(r[5]) // 13
-            head = np.frombuffer(r[5], np.uint8)
-            size = head[8 * k : 12 * k].copy().view(np.uint32)
-            us.append(np.repeat(head[: 8 * k].copy().view(np.uint64), size))
-            wides.append(np.repeat(head[12 * k :], size))
-            six = np.frombuffer(r[6], np.uint8).reshape(-1, 6)
-            full = np.zeros((len(six), 8), np.uint8)
-            full[:, :6] = six
-            ws.append(full.view(np.uint64).ravel())
-            sizes.append(len(six))
-        u, w, n = np.concatenate(us), np.concatenate(ws), np.concatenate([unpack(r[7], np.uint32) for r in rows])
-        code, wide = np.concatenate([unpack(r[8], np.uint8) for r in rows]), np.concatenate(wides)
-        _, first, inverse = np.unique(_mix(u) * np.uint64(0x9E3779B97F4A7C15) + _mix(w + np.uint64(11)), return_index=True, return_inverse=True)
-        c = np.bincount(inverse, n, minlength=first.size).astype(np.int64)
-        holders = np.bincount(inverse, n > 0, minlength=first.size)
-        _, context = np.unique(u[first], return_inverse=True)
-        scale = np.ones(context.max() + 1)
-        scale[context] = np.where(wide[first] > 0, float(s.spread), 1.0)
-        parent = 2.0 ** (code[first] / 8.0) / (total + kinds + 1.0)
+            at, (c, code), (t, kept) = unpack(r[6], np.uint32), _halves(r[7]), _halves(r[8])
+            whole = tables[np.searchsorted(contexts, np.frombuffer(r[5], np.int64))]
+            many = np.flatnonzero(c > 1)
+            opening = np.log(s.strength + s.discount * (whole[at[many]] - t[many])) + np.log(_parent(code[many], total, kinds))
+            t[many] = draw_tables(c[many], opening, stirlings, s.discount, np.random.default_rng([s.seed, r[2], 2, sweep]))
+            if sweep >= s.burn_in:
+                kept += t
+            out.append(_row(-1, SEATS, r[2], r[5], r[6], r[7], pack(np.concatenate((t, kept)))))
+        return out
+
+    return lambda batches: _out(_groups(batches, 2), bucket)
+
+
+def _seat_wide(seats: DataFrame, total: float, kinds: float, s: Settings) -> DataFrame:
+    """SEATS after all sweeps."""
+    for sweep in range(s.sweeps):
+        sums = seats.mapInArrow(_wide_tables, "context long, tables long").groupBy("context").agg(F.sum("tables").alias("tables")).orderBy("context").toArrow()
+        if not sums.num_rows:
+            break
+        contexts, tables = (sums.column(k).to_numpy() for k in ("context", "tables"))
+        before, seats = seats, materialize(seats.mapInArrow(_sweep_wide(contexts, tables, sweep, total, kinds, s), PACKET), "lm-seats")
+        discard(before)
+    return seats
+
+
+def _seat_pairs(total: float, kinds: float, s: Settings):
+    def bucket(rows: list[tuple]) -> list[tuple]:
+        seats, rows = _by_kind(rows, SEATS), _by_kind(rows, ASK_PAIRS)
+        d = _dishes(rows)
+        t = np.zeros(d.c.size)
+        for r in seats:
+            t[d.wide] = _halves(r[8])[1] / (s.sweeps - s.burn_in)
+        own = np.flatnonzero(~d.wide)
+        contexts, context = np.unique(d.u[own], return_inverse=True)
         rng = np.random.default_rng([s.seed, rows[0][2]])
-        t = seat_contexts(c, context, np.minimum(parent, 1.0), scale, s, rng)
-        left = (c - s.discount * t).astype(np.float32)
-        share = (t / np.maximum(holders, 1)).astype(np.float32)
+        t[own] = seat_contexts(d.c[own], context, _parent(d.code[own], total, kinds), np.ones(contexts.size), s, rng)
+        left = (d.c - s.discount * t).astype(np.float32)
+        share = (t / np.maximum(d.holders, 1)).astype(np.float32)
         out, e = [], 0
-        for r, size in zip(rows, sizes):
-            mine = inverse[e : e + size]
-            out.append(_row(r[0], PAIRS, r[2], pack(left[mine]), pack(np.where(n[e : e + size] > 0, share[mine], np.float32(0)))))
+        for r, size in zip(rows, d.sizes):
+            mine = d.number[e : e + size]
+            out.append(_row(r[0], PAIRS, r[2], pack(left[mine]), pack(np.where(d.asked[e : e + size] > 0, share[mine], np.float32(0)))))
             e += size
         return out
 
@@ -447,8 +541,13 @@ def score(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     words = counted.filter(f"kind = {WORDS}")
     release(spark)
 
+    wide = to_blocks(texts.unionAll(words), _ask_pairs(buckets, total, s, wide_only=True))
+    seats = materialize(to_buckets(wide, _open_wide), "lm-seats")
+    release(spark)
+    seats = _seat_wide(seats, total, kinds, s)
     asked = to_blocks(texts.unionAll(words), _ask_pairs(buckets, total, s))
-    pairs = materialize(to_buckets(asked, _seat_pairs(total, kinds, s)), "lm-pairs")
+    pairs = materialize(to_buckets(asked.unionAll(seats), _seat_pairs(total, kinds, s)), "lm-pairs")
+    discard(seats)
     release(spark)
     tables = to_blocks(texts.unionAll(words).unionAll(pairs), _ask_tables(buckets, total, s))
     seated = materialize(to_buckets(tables, _seat_root(kinds, s)), "lm-root", "kind")

@@ -90,6 +90,29 @@ def test_tables_of_a_context_and_the_root_keep_the_mass():
         assert chance.sum() == pytest.approx(1.0) and (chance > 0).all()
 
 
+def test_a_context_over_many_buckets_is_one_restaurant(spark, monkeypatch):
+    """A hot context, a third of its rows on one pair, has the tables that it has when seated in one piece."""
+    rng, s = np.random.default_rng(6), lm.Settings()
+    follow = ["heavy"] * 4000 + [f"v{k}" for k in rng.zipf(1.3, 8000) % 1500]
+    rows = [(k, " ".join(f"hot {w}" for w in follow[k::100])) for k in range(1000) if not held(k)][:100]
+    seen, plain = {}, lm.materialize
+    monkeypatch.setattr(lm, "materialize", lambda df, label, *a: seen.setdefault(label, []).append(out := plain(df, label, *a)) or out)
+    lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), s).count()
+    got = sum(lm.unpack(r.b, np.float32).sum() for r in seen["lm-pairs"][-1].filter(f"kind = {lm.PAIRS}").collect())
+
+    pairs, count = Counter(), Counter()
+    for _, x in rows:
+        t = tokens(x)
+        count.update(t)
+        pairs.update(zip(["", *t], t))
+    total, kinds = sum(count.values()), len(count)
+    number = {u: k for k, u in enumerate({u for u, _ in pairs})}
+    parent = np.array([(count[w] + 1) / (total + kinds + 1) for _, w in pairs])
+    args = np.array(list(pairs.values())), np.array([number[u] for u, _ in pairs]), parent, np.ones(len(number)), s
+    want = np.mean([lm.seat_contexts(*args, np.random.default_rng(k)).sum() for k in range(5)])
+    assert got == pytest.approx(want, rel=0.02)
+
+
 def test_empty_and_all_held_out(spark):
     schema = "doc_id long, text string"
     assert lm.score(spark.createDataFrame([], schema)).count() == 0
