@@ -23,13 +23,11 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: size of the trigram table. sample: labelled rows per language that fit the text model, about. languages: at most
-    so many, the most frequent. cap: trigrams that one text counts for at most. smoothing: pseudo-counts of the priors.
-    accept: least posterior of an accepted language."""
+    """bits: size of the trigram table. sample: labelled rows per language that fit the text model, about. cap: trigrams
+    that one text counts for at most. smoothing: pseudo-counts of the priors. accept: least posterior of an accepted language."""
 
     bits: int = 15
     sample: int = 2000
-    languages: int = 64
     cap: float = 60.0
     smoothing: float = 20.0
     accept: float = 0.5
@@ -46,33 +44,31 @@ def trigrams(text: str | None, bits: int) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, s: Settings = Settings()) -> tuple[list[str], np.ndarray]:
-    """Languages and log-probabilities (bucket, language) from rows (doc_id, text, declared).
+    """All declared languages and log-probabilities (bucket, language) from rows (doc_id, text, declared).
 
     Fits on about s.sample rows per language, those of the smallest hashes of doc_id and text; unlabelled rows are ignored.
     """
     known = labelled.filter(F.col("declared").isNotNull() & (F.trim("declared") != ""))
-    sizes = known.groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(s.languages).collect()
+    sizes = known.groupBy("declared").count().collect()
     langs = sorted(r["declared"] for r in sizes)
     if not langs:
         return [], np.zeros((1 << s.bits, 0), np.float32)
-    share = F.lit(None).cast("double")
-    for r in sizes:
-        share = F.when(F.col("declared") == r["declared"], F.lit(min(1.0, s.sample / r["count"]))).otherwise(share)
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["declared"], min(1.0, s.sample / r["count"]))])[F.col("declared")]
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = {x: np.zeros(1 << s.bits, np.int64) for x in langs}
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             for text, lang in zip(b.column(0), b.column(1).to_pylist()):
-                sums[lang] += np.bincount(trigrams(text.as_py(), s.bits), minlength=1 << s.bits)
+                sums[lang] = sums.get(lang, 0) + np.bincount(trigrams(text.as_py(), s.bits), minlength=1 << s.bits)
         for lang, n in sums.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array(at, pa.int64()), pa.array(n[at], pa.int64())], names=["lang", "bucket", "n"])
 
     counted = known.filter(draw < share).select("text", "declared").mapInArrow(count, "lang string, bucket long, n long")
-    table = np.zeros((1 << s.bits, len(langs)))
+    table, number = np.zeros((1 << s.bits, len(langs))), {x: k for k, x in enumerate(langs)}
     for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow().to_pylist():
-        table[r["bucket"], langs.index(r["lang"])] = r["n"]
+        table[r["bucket"], number[r["lang"]]] = r["n"]
     table += 0.5
     return langs, np.log(table / table.sum(axis=0)).astype(np.float32)
 
@@ -97,7 +93,7 @@ def identify(docs: DataFrame, declared: Column | None = None, suffix: Column | N
     if not langs:
         return base.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("n_trigrams"))
 
-    model = base.sparkSession.sparkContext.broadcast(table)  # 2 ** bits * languages * 4 bytes, 8 MB at most by Settings
+    model = base.sparkSession.sparkContext.broadcast(table)  # 2 ** bits * languages * 4 bytes, 128 KB for each language
     width = len(langs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

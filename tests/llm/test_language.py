@@ -71,6 +71,16 @@ def test_posteriors_match_a_plain_version(spark, rows):
     assert (by[900], by[901], by[902], by[903], by[904], by[None]) == ("xx", "und", "yy", "yy", "yy", "xx")
 
 
+def test_every_declared_language_is_told(spark):
+    """Of 70 languages with their own words, none is given another's code."""
+    rng = random.Random(8)
+    own = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for k in range(70)}
+    rows = [(k, " ".join(rng.choice(own[x]) for _ in range(30)), x) for k, x in enumerate(sorted(own) * 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.language for r in language.identify(df, df["lang"]).collect()}
+    assert got == {k: x for k, _, x in rows}
+
+
 def test_degenerate_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert language.identify(empty, empty["lang"]).count() == 0
