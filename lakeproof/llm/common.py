@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -51,28 +50,32 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, *partitions: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing."""
-    path = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+#: Has Spark delete a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
+def materialize(df: DataFrame, label: str, *partitions: str) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage ends there and lost executors cost nothing.
 
-def release(spark: SparkSession) -> None:
-    """Has the JVM forget finished passes, upon which Spark deletes their shuffle files. The session holds on to its last query,
-    so that becomes a trivial one first."""
-    spark.range(1).write.format("noop").mode("overwrite").save()
-    gc.collect()
-    spark._jvm.System.gc()
+    The shuffle files of the write are deleted with it, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = scratch(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").partitionBy(*partitions).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a materialized table that nothing will read again."""
+def discard(df: DataFrame, partition: str = "") -> None:
+    """Deletes the files of a materialized table, or of one partition (`column=value`) of it, that nothing will read again."""
     spark = df.sparkSession
     base = shared_dir(spark)
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        if base.split("://")[-1].lstrip("/") in folder:
+        if base.split("://")[-1].lstrip("/") in folder and folder.endswith(partition):
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

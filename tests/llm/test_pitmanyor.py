@@ -72,45 +72,82 @@ def test_contexts_matter_and_unknown_words_have_a_chance(spark):
     assert good > bad > -20 and new > -20 and all(x < 0 for x in (good, bad, new, none))
 
 
-def test_tables_of_a_context_and_the_root_keep_the_mass():
-    """Discounted counts and opened mass add up: the chances over all words and one unknown are one."""
+def seat_plainly(pairs, s, sweeps, rng):
+    """Mean predictive probabilities of a small bigram model, dish by dish in plain loops."""
+    contexts, words = sorted({u for u, _ in pairs}), sorted({w for _, w in pairs})
+    t = {p: 1 for p in pairs}
+    c_u = {u: sum(c for (x, _), c in pairs.items() if x == u) for u in contexts}
+    mean, kept, root_tables = Counter(), 0, {w: 1 for w in words}
+
+    def draw(c, others, parent, strength, discount):
+        table = lm.stirling(discount, np.array([c]))[c] if c > 1 else [0.0]
+        w = [math.exp(table[k - 1] + sum(math.log((strength + discount * (others + j)) * parent) for j in range(k))) for k in range(1, c + 1)]
+        return 1 + int(rng.choice(c, p=np.array(w) / sum(w)))
+
+    for sweep in range(sweeps):
+        c0 = Counter()
+        for (_, w), n in t.items():
+            c0[w] += n
+        for w in words:
+            others = sum(root_tables.values()) - root_tables[w]
+            root_tables[w] = draw(c0[w], others, 1 / (len(words) + 1), s.root_strength, s.root_discount)
+        opened, n0 = sum(root_tables.values()), sum(c0.values())
+        root = {w: (c0[w] - s.root_discount * root_tables[w] + (s.root_strength + s.root_discount * opened) / (len(words) + 1)) / (s.root_strength + n0) for w in words}
+        if sweep >= 5:
+            kept += 1
+            for u in contexts:
+                tables = sum(n for (x, _), n in t.items() if x == u)
+                for w in words:
+                    c, n = pairs.get((u, w), 0), t.get((u, w), 0)
+                    mean[u, w] += (c - s.discount * n + (s.strength + s.discount * tables) * root[w]) / (s.strength + c_u[u])
+        for u, w in pairs:
+            others = sum(n for (x, v), n in t.items() if x == u and v != w)
+            t[u, w] = draw(pairs[u, w], others, root[w], s.strength, s.discount)
+    return {k: x / kept for k, x in mean.items()}
+
+
+def test_scores_are_those_of_dish_by_dish_seating(spark):
+    """Averaged predictive probabilities of the dealt-out model against plain loops."""
+    words = ["a b a c a b", "b c a b a b a b", "c c c a", "a a b", "b", "d a b a"]
+    rows = [(k, words[k % len(words)]) for k in range(48) if not held(k)]
+    pairs = Counter()
+    for _, x in rows:
+        t = [w or b"" for w in tokens(x)]
+        pairs.update(zip([b"^", *t], t))
+    want = seat_plainly(pairs, lm.Settings(), 400, np.random.default_rng(3))
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2), lm.Settings(sweeps=24, burn_in=4)).collect()}
+    for k, x in rows[:6]:
+        t = [w or b"" for w in tokens(x)]
+        assert got[k] == pytest.approx(sum(math.log10(want[p]) for p in zip([b"^", *t], t)), rel=0.02)
+
+
+def test_chances_of_a_context_sum_to_one():
+    """Over all words and one unknown, in any state."""
     s, rng = lm.Settings(), np.random.default_rng(0)
-    c, context = rng.integers(1, 300, 500), rng.integers(0, 7, 500)
-    word = np.arange(500) % 80
-    t = lm.seat_contexts(c, context, np.full(500, 1 / 80), np.ones(7), s, rng)
+    key = np.unique(rng.integers(0, 7 * 80, 300))
+    u, w = key // 80, key % 80
+    c = rng.integers(1, 300, key.size)
+    t = lm.sweep_contexts(c, np.minimum(c, 1), u, np.full(key.size, 1 / 80), np.zeros(7), s, rng)
     assert (t >= 1).all() and (t <= c).all()
-    dish = np.bincount(word, t, minlength=80)
-    tables = lm.draw_tables(np.round(dish).astype(np.int64), np.zeros(80), lm.stirling(s.root_discount), s.root_discount, rng)
+    dish = np.bincount(w, t, minlength=80).astype(np.int64)
+    tables = lm.draw_tables(dish, np.full(80, 79.0), np.full(80, 1 / 81), s.root_strength, s.root_discount, rng)
     unknown = (s.root_strength + s.root_discount * tables.sum()) / 81
     root = np.append(dish - s.root_discount * tables + unknown, unknown) / (s.root_strength + dish.sum())
-    for u in range(7):
-        mine = context == u
-        left = np.append(np.bincount(word[mine], c[mine] - s.discount * t[mine], minlength=80), 0.0)
+    for k in range(7):
+        mine = u == k
+        left = np.append(np.bincount(w[mine], c[mine] - s.discount * t[mine], minlength=80), 0.0)
         chance = (left + (s.strength + s.discount * t[mine].sum()) * root) / (s.strength + c[mine].sum())
         assert chance.sum() == pytest.approx(1.0) and (chance > 0).all()
 
 
-def test_a_context_over_many_buckets_is_one_restaurant(spark, monkeypatch):
-    """A hot context, a third of its rows on one pair, has the tables that it has when seated in one piece."""
-    rng, s = np.random.default_rng(6), lm.Settings()
+def test_a_context_over_many_buckets_is_one_restaurant(spark):
+    """A hot context, a third of its rows on one pair, scores as it does when seated in one bucket."""
+    rng = np.random.default_rng(6)
     follow = ["heavy"] * 4000 + [f"v{k}" for k in rng.zipf(1.3, 8000) % 1500]
     rows = [(k, " ".join(f"hot {w}" for w in follow[k::100])) for k in range(1000) if not held(k)][:100]
-    seen, plain = {}, lm.materialize
-    monkeypatch.setattr(lm, "materialize", lambda df, label, *a: seen.setdefault(label, []).append(out := plain(df, label, *a)) or out)
-    lm.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), s).count()
-    got = sum(lm.unpack(r.b, np.float32).sum() for r in seen["lm-pairs"][-1].filter(f"kind = {lm.PAIRS}").collect())
-
-    pairs, count = Counter(), Counter()
-    for _, x in rows:
-        t = tokens(x)
-        count.update(t)
-        pairs.update(zip(["", *t], t))
-    total, kinds = sum(count.values()), len(count)
-    number = {u: k for k, u in enumerate({u for u, _ in pairs})}
-    parent = np.array([(count[w] + 1) / (total + kinds + 1) for _, w in pairs])
-    args = np.array(list(pairs.values())), np.array([number[u] for u, _ in pairs]), parent, np.ones(len(number)), s
-    want = np.mean([lm.seat_contexts(*args, np.random.default_rng(k)).sum() for k in range(5)])
-    assert got == pytest.approx(want, rel=0.02)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    one, many = ({r.doc_id: r.score for r in lm.score(df, lm.Settings(spread=n)).collect()} for n in (1, 64))
+    assert all(many[k] == pytest.approx(one[k], rel=0.01) for k in one)
 
 
 def test_empty_and_all_held_out(spark):
@@ -123,30 +160,29 @@ def test_empty_and_all_held_out(spark):
 
 def test_stirling_and_draws():
     d = 0.4
-    s = lm.stirling(d, 6)
+    s = lm.stirling(d, np.array([3, 4]))
     # S(3, 1) = (1 - d)(2 - d), S(3, 2) = 3(1 - d), S(3, 3) = 1
-    assert np.exp(s[3, 1:4]) == pytest.approx([(1 - d) * (2 - d), 3 * (1 - d), 1.0])
+    assert np.exp(s[3]) == pytest.approx([(1 - d) * (2 - d), 3 * (1 - d), 1.0])
     rng = np.random.default_rng(1)
-    n, log_open = 40_000, math.log(0.7)
-    t = lm.draw_tables(np.full(n, 4), np.full(n, log_open), lm.stirling(d), d, rng)
-    w = np.exp(lm.stirling(d)[4, 1:5] + log_open * np.arange(1, 5))
+    n, parent, strength, others = 40_000, 0.3, 1.5, 2.0
+    t = lm.draw_tables(np.full(n, 4), np.full(n, others), np.full(n, parent), strength, d, rng)
+    opening = np.cumprod((strength + d * (others + np.arange(4))) * parent)
+    w = np.exp(s[4]) * opening
     assert np.bincount(t, minlength=5)[1:] / n == pytest.approx(w / w.sum(), abs=0.01)
 
 
-def test_large_dishes_follow_single_seating():
-    """Parties of customers give about the mean of seating one customer after the other."""
-    rng, d, opening, c = np.random.default_rng(2), 0.8, 2.0, 3000
-    t = lm.draw_tables(np.full(400, c), np.full(400, math.log(opening)), lm.stirling(d), d, rng)
-    single = []
-    for _ in range(100):
-        k = 1
-        for i in range(1, c):
-            k += rng.random() < opening / (opening + i - d * k)
-        single.append(k)
-    assert np.mean(t) == pytest.approx(np.mean(single), rel=0.1)
+@pytest.mark.parametrize("parent, others", [(0.3, 5.0), (0.01, 400.0), (0.0005, 3000.0), (0.2, 4000.0)])
+def test_large_dishes_follow_the_conditional(monkeypatch, parent, others):
+    """The limit form beyond EXACT customers gives the mean that the tabulated conditional gives."""
+    rng, d, c, n = np.random.default_rng(2), 0.8, 4000, 4000
+    args = np.full(n, c), np.full(n, others), np.full(n, parent), 1.0, d, rng
+    limit = lm.draw_tables(*args).mean()
+    monkeypatch.setattr(lm, "EXACT", c)
+    assert limit == pytest.approx(lm.draw_tables(*args).mean(), rel=0.05)
 
 
-def test_block_packets_round_trip():
+def test_packets_round_trip():
     x = np.array([0, 1, 70_000, 2**32 - 1], np.uint32)
     assert lm.unpack(lm.pack(x), np.uint32).tolist() == x.tolist()
     assert lm.unpack(lm.pack(x[:0]), np.uint32).size == 0
+    assert lm.unpack_sorted(lm.pack_sorted(x)).tolist() == x.tolist()
