@@ -24,19 +24,27 @@ def removed_codes(old: DataFrame, new: DataFrame, keys: list[str], codes: str) -
 
 
 def parameter_changes(old: DataFrame, new: DataFrame, endpoint: list[str], identity: list[str]) -> DataFrame:
-    """J-14: changes of parameters (…, type, required) of endpoints in both versions: removed, retyped, or newly required (breaking);
-    an optional addition is not."""
+    """J-14: changes of parameters (…, type, format, required) of endpoints in both versions, a row for each change.
+
+    A removal is breaking if the parameter was required. Another type or format, a parameter that became required and a new
+    required one are breaking; a new optional one is no change. A null flag is not required; null formats are equal.
+    """
     keys = endpoint + identity
     both = old.select(*endpoint).distinct().join(new.select(*endpoint).distinct(), endpoint)
-    cut = lambda d, s: d.join(both, endpoint, "left_semi").select(*keys, F.col("type").alias(f"type{s}"), F.col("required").alias(f"required{s}"), F.lit(True).alias(f"in{s}"))
+    kind = lambda s: F.struct("type", "format", F.coalesce("required", F.lit(False)).alias("required")).alias(s)
+    cut = lambda d, s: d.join(both, endpoint, "left_semi").select(*keys, kind(s))
     joined = cut(old, "_a").join(cut(new, "_b"), keys, "full_outer")
-    kind = (
-        F.when(F.col("in_b").isNull(), "parameter-removed")
-        .when(F.col("in_a").isNull() & F.col("required_b"), "required-parameter-added")
-        .when(F.col("in_a").isNull(), "optional-parameter-added")
-        .when(~F.col("type_a").eqNullSafe(F.col("type_b")), "type-changed")
+    a, b = F.col("_a"), F.col("_b")
+    change = lambda test, name, breaking: F.when(test, F.struct(F.lit(name).alias("change"), breaking.alias("breaking")))
+    retyped = ~(a["type"].eqNullSafe(b["type"]) & a["format"].eqNullSafe(b["format"]))
+    common = a.isNotNull() & b.isNotNull()
+    found = F.array(
+        change(b.isNull(), "parameter-removed", a["required"]),
+        change(common & retyped, "type-changed", F.lit(True)),
+        change(common & ~a["required"] & b["required"], "became-required", F.lit(True)),
+        change(a.isNull() & b["required"], "required-parameter-added", F.lit(True)),
     )
-    return joined.select(*keys, kind.alias("change"), (kind != "optional-parameter-added").alias("breaking")).filter("change is not null")
+    return joined.select(*keys, F.inline(F.filter(found, lambda x: x.isNotNull())))
 
 
 def contract_matches(interactions: DataFrame, operations: DataFrame) -> DataFrame:

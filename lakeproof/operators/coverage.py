@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -87,15 +87,14 @@ def parameter_flags(pairs: DataFrame, keys: Sequence[str], flags: Sequence[str])
     return grouped.withColumn("ratio", share_of_flags(*[F.col(f) for f in flags]))
 
 
-def zero_filled_counts(rows: DataFrame, *dimensions: str) -> DataFrame:
-    """A-10: (dimension, value, n) of each value of each dimension in one pass over the rows."""
-    sets = ", ".join(f"({d})" for d in dimensions)
-    rows.createOrReplaceTempView("_lakeproof_counts")
-    name = " ".join(f"WHEN grouping({d}) = 0 THEN '{d}'" for d in dimensions)
-    value = ", ".join(f"CASE WHEN grouping({d}) = 0 THEN cast({d} AS string) END" for d in dimensions)
-    return rows.sparkSession.sql(
-        f"SELECT CASE {name} END AS dimension, coalesce({value}) AS value, count(*) AS n FROM _lakeproof_counts GROUP BY GROUPING SETS ({sets})"
-    )
+def zero_filled_counts(rows: DataFrame, domains: Mapping[str, Sequence[str]]) -> DataFrame:
+    """A-10, A-22: (dimension, value, n) of each value of each dimension in one pass over the rows; values of a dimension's domain
+    that no row has are 0. Nulls are left out."""
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(name(d)).cast("string").alias("value")) for d in domains])
+    counted = rows.select(F.inline(each)).filter("value is not null").groupBy("dimension", "value").agg(F.count("*").alias("n"))
+    wanted = rows.sparkSession.createDataFrame([(d, v) for d, vs in domains.items() for v in vs], "dimension string, value string").distinct()
+    return wanted.join(counted, ["dimension", "value"], "full_outer").na.fill(0, ["n"])
 
 
 def overall(results: DataFrame) -> DataFrame:

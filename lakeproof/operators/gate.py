@@ -34,20 +34,23 @@ def failures(results: DataFrame, threshold: Column) -> DataFrame:
     return results.withColumn("threshold", threshold).filter("percent < threshold").withColumn("gap", F.round(F.col("threshold") - F.col("percent"), 2))
 
 
-def verdict(found: DataFrame, mode: str = "fail", enabled: bool = True) -> DataFrame:
+def verdict(found: DataFrame, mode: str = "fail", enabled: bool = True, order: str = "type") -> DataFrame:
     """D-02: one row (passed, n_failures, worst, worst_gap). A disabled gate has no failures; mode `warn` always passes."""
     rows = found if enabled else found.limit(0)
     n = F.count("*")
-    # T-05: the largest gap, the first type on ties
-    worst = F.max_by("type", F.struct("gap", -F.ascii("type")))
+    # T-05: the largest gap, the first by `order` on ties
+    worst = F.min_by("type", F.struct((-F.col("gap")).alias("_gap"), F.col(order).alias("_order")))
     return rows.agg(((n == 0) | F.lit(mode == "warn")).alias("passed"), n.alias("n_failures"), worst.alias("worst"), F.max("gap").alias("worst_gap"))
 
 
-def evaluate(known: DataFrame, results: DataFrame, failed: DataFrame) -> DataFrame:
-    """D-04: every known type and every other type with results: FAIL if in failed, N/A without items, SKIPPED without results, else PASS."""
+def evaluate(known: DataFrame, results: DataFrame, failed: DataFrame, threshold: Column) -> DataFrame:
+    """D-04: every known type and every other type with results: SKIPPED without results, N/A without items or threshold (over
+    `type`), FAIL if in failed, else PASS."""
     bad = failed.select("type", F.lit(True).alias("_failed")).distinct()
     joined = known.select("type").distinct().join(results, "type", "full_outer").join(bad, "type", "left")
-    status = F.when(F.col("total").isNull(), "SKIPPED").when(F.col("_failed"), "FAIL").when(F.col("total") == 0, "N/A").otherwise("PASS")
+    status = (
+        F.when(F.col("total").isNull(), "SKIPPED").when((F.col("total") == 0) | threshold.isNull(), "N/A").when(F.col("_failed"), "FAIL").otherwise("PASS")
+    )
     return joined.select("type", "total", "percent", status.alias("status"))
 
 

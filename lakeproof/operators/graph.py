@@ -5,29 +5,64 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .keys import first_by
 
 
-def reachable(edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] = (), depth: int = 20) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] = (), nodes: DataFrame | None = None, order: str = "") -> DataFrame:
     """G-02: (root, node, depth): nodes reached from each start (root), at their least depth, starts left out. Cycle-safe.
 
-    One join per level from the frontier only; nodes that were reached before leave it. checkpoint() cuts the lineage where
-    the cluster names a folder for it. Ends with the frontier or at `depth`.
+    One join per level from the frontier only, until the frontier is empty; nodes that were reached before leave it. Ids that
+    are not in nodes (id), where given, are passed through but not returned. With order, a column of edges, `position` tells
+    the place of a node in a breadth-first visit that takes a node's edges in that order. checkpoint() cuts the lineage
+    where the cluster names a folder for it.
     """
     steps = edges.filter(F.col("type").isin(*edge_types)) if edge_types else edges
-    steps = steps.select(F.col("source").alias("_from"), F.col("target").alias("_to")).distinct()
-    saved = (lambda d: d.checkpoint()) if starts.sparkSession.sparkContext.getCheckpointDir() else (lambda d: d.cache())
-    seen = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier, found = seen, seen
-    for level in range(1, depth + 1):
-        step = frontier.join(steps, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node")).distinct()
-        frontier = saved(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(level)))
+    steps = steps.groupBy(F.col("source").alias("_from"), F.col("target").alias("_to")).agg((F.min(order) if order else F.lit(0)).alias("_ord"))
+    lasting = starts.sparkSession.sparkContext.getCheckpointDir()
+    saved = (lambda d: d.checkpoint()) if lasting else (lambda d: d.cache())
+    frontier = starts.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(0).cast("long").alias("position")).distinct()
+    found, level = frontier, 0
+    while True:
+        level += 1
+        step = frontier.join(steps, F.col("node") == F.col("_from")).groupBy("root", F.col("_to").alias("node")).agg(F.min(F.struct("position", "_ord", "_to")).alias("_via"))
+        fresh = step.join(found.select("root", "node"), ["root", "node"], "left_anti")
+        place = F.row_number().over(W.partitionBy("root").orderBy("_via")).cast("long") if order else F.lit(0).cast("long")
+        frontier = saved(fresh.select("root", "node", F.lit(level).alias("depth"), place.alias("position")))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    return found.filter("depth > 0")
+    out = found.filter("depth > 0")
+    if nodes is not None:
+        out = out.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi").select("root", "node", "depth", "position")
+    if order:
+        return out.withColumn("position", F.row_number().over(W.partitionBy("root").orderBy("depth", "position")))
+    return out.drop("position")
+
+
+def type_on_path(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, node_type: str, order: str = "id") -> DataFrame:
+    """G-03: pairs (start, end) with a flag whether the first shortest path between them, by breadth-first visits that take edges
+    by `order`, passes a node (id, type) of the type, ends included. No path, no flag."""
+    steps = edges.groupBy(F.col("source").alias("_from"), F.col("target").alias("_to")).agg(F.min(order).alias("_ord"))
+    typed = nodes.select(F.col("id").alias("_id"), (F.col("type") == node_type).alias("_is")).groupBy("_id").agg(F.bool_or("_is").alias("_is"))
+    lasting = edges.sparkSession.sparkContext.getCheckpointDir()
+    saved = (lambda d: d.checkpoint()) if lasting else (lambda d: d.cache())
+    flag = lambda d, c: d.join(typed, F.col(c) == F.col("_id"), "left").withColumn("hit", F.col("hit") | F.coalesce("_is", F.lit(False))).drop("_id", "_is")
+    first = pairs.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(False).alias("hit"))
+    frontier = found = flag(first, "node")
+    while True:
+        step = frontier.join(steps, F.col("node") == F.col("_from")).groupBy("start", F.col("_to").alias("node"))
+        step = step.agg(F.min(F.struct("position", "_ord", "hit")).alias("_via")).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        place = F.row_number().over(W.partitionBy("start").orderBy("_via", "node")).cast("long")
+        frontier = saved(flag(step.select("start", "node", place.alias("position"), F.col("_via.hit").alias("hit")), "node"))
+        if frontier.isEmpty():
+            break
+        found = found.unionByName(frontier)
+    ends = found.select(F.col("start").alias("_s"), F.col("node").alias("_e"), "hit")
+    joined = pairs.join(ends, (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
+    return joined.select("start", "end", F.coalesce("hit", F.lit(False)).alias("on_path"))
 
 
 def merge(nodes: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -178,11 +178,13 @@ def param_flags(spark: SparkSession, d: str) -> DataFrame:
     return coverage.parameter_flags(adapt.table(spark, d, "documents").select("source", *[v.alias(k) for k, v in flags.items()]), ["source"], list(flags))
 
 
-@query("""SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'size', CASE WHEN n_chars > 1000 THEN 'large' ELSE 'small' END FROM documents) GROUP BY ALL""")
+@query("""WITH d(dimension, value) AS (VALUES ('lang', 'en'), ('lang', 'xx'), ('size', 'small'), ('size', 'large'), ('size', 'huge')),
+c AS (SELECT dimension, value, count(*) AS n FROM (SELECT 'lang' AS dimension, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'size', CASE WHEN n_chars > 1000 THEN 'large' ELSE 'small' END FROM documents) WHERE value IS NOT NULL GROUP BY ALL)
+SELECT dimension, value, coalesce(n, 0) AS n FROM d FULL JOIN c USING (dimension, value)""")
 def grouping_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A-10, A-21, A-22."""
+    """A-10, A-22."""
     docs = adapt.table(spark, d, "documents").select("lang", "source", F.when(F.col("n_chars") > 1000, "large").otherwise("small").alias("size"))
-    return coverage.zero_filled_counts(docs, "lang", "source", "size")
+    return coverage.zero_filled_counts(docs, {"lang": ["en", "xx"], "source": [], "size": ["small", "large", "huge"]})
 
 
 @query("""WITH f AS (SELECT page_id, regexp_replace(url, '^https?://', '') || CASE page_id % 5 WHEN 0 THEN '.spec.ts' WHEN 1 THEN '/e2e/a.py' WHEN 2 THEN '/api/x.api.rb' WHEN 3 THEN '/A.JAVA' ELSE '' END AS path FROM pages)
@@ -196,11 +198,11 @@ def test_layers(spark: SparkSession, d: str) -> DataFrame:
     return files.select("page_id", extract.language_of(F.col("path")).alias("language"), layer["layer"].alias("layer"), layer["confidence"].alias("confidence"))
 
 
-@query(f"""WITH {adapt.CALLS_SQL}, f AS (SELECT DISTINCT user_id, method, path FROM calls WHERE user_id % 20 = 0)
+@query(f"""WITH {adapt.CALLS_SQL}, f AS (SELECT DISTINCT user_id, method, path FROM calls)
 SELECT 'f' || user_id AS file, method, path FROM f""")
 def extracted_calls(spark: SparkSession, d: str) -> DataFrame:
     """X-02, X-07, U-05: calls written into source texts and read out again."""
-    lines = adapt.calls(spark, d).filter("user_id % 20 = 0").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("request."), F.lower("method"), F.lit("('"), F.col("path"), F.lit("')")).alias("line"))
+    lines = adapt.calls(spark, d).select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("file"), F.concat(F.lit("request."), F.lower("method"), F.lit("('"), F.col("path"), F.lit("')")).alias("line"))
     files = lines.groupBy("file").agg(F.array_join(F.collect_list("line"), "\n").alias("content")).withColumn("language", F.lit("typescript"))
     return extract.http_calls(files).select("file", "method", "path")
 
@@ -253,7 +255,7 @@ def intel_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {adapt.FINDINGS_SQL} SELECT severity, category, path, min(id) AS id, arg_min(zero, ord) AS zero FROM findings GROUP BY severity, category, path")
 def findings_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """U-05, J-24."""
+    """U-05."""
     return keys.first_by(adapt.findings(spark, d), ["severity", "category", "path"], ["ord"]).select("severity", "category", "path", "id", "zero")
 
 
@@ -269,14 +271,17 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
     return failed.select("type", "percent", "threshold", "gap")
 
 
-@query(f"""WITH {adapt.FINDINGS_SQL}, g AS (SELECT category AS type, count(*) AS total, floor(count(*) FILTER (WHERE zero) / count(*) * 10000 + 0.5) / 100 AS percent FROM findings GROUP BY category),
-k(type) AS (VALUES ('other'), ('missing-auth-test'), ('unknown'))
-SELECT coalesce(k.type, g.type) AS type, total, percent, CASE WHEN total IS NULL THEN 'SKIPPED' WHEN percent < 33.3 THEN 'FAIL' WHEN total = 0 THEN 'N/A' ELSE 'PASS' END AS status FROM k FULL JOIN g USING (type)""")
+@query(f"""WITH {adapt.FINDINGS_SQL}, g AS (SELECT category AS type, count(*) AS total, floor(count(*) FILTER (WHERE zero) / count(*) * 10000 + 0.5) / 100 AS percent FROM findings GROUP BY category UNION ALL SELECT 'empty', 0, 0),
+k(type) AS (VALUES ('other'), ('missing-auth-test'), ('unknown')), t(type, threshold) AS (VALUES ('other', 33.3), ('missing-auth-test', 1.0), ('uncovered-endpoint', 99.0), ('empty', 50.0))
+SELECT coalesce(k.type, g.type) AS type, total, percent, CASE WHEN total IS NULL THEN 'SKIPPED' WHEN total = 0 THEN 'N/A' WHEN threshold IS NULL THEN 'N/A' WHEN percent < threshold THEN 'FAIL' ELSE 'PASS' END AS status
+FROM k FULL JOIN g USING (type) LEFT JOIN t ON t.type = coalesce(k.type, g.type)""")
 def metric_status(spark: SparkSession, d: str) -> DataFrame:
-    """D-04, D-10."""
+    """D-04: a type without items is not applicable although its gate fails, one without a threshold although it has items."""
     results = coverage.coverage_summary(adapt.findings(spark, d), F.col("zero"), "category").withColumnRenamed("category", "type")
+    results = results.select("type", "total", "percent").unionByName(spark.createDataFrame([("empty", 0, 0.0)], "type string, total long, percent double"))
     known = spark.createDataFrame([("other",), ("missing-auth-test",), ("unknown",)], "type string")
-    return gate.evaluate(known, results, gate.failures(results, F.lit(33.3)))
+    limits = gate.threshold_of(F.col("type"), {"other": 33.3, "missing-auth-test": 1.0}, {"uncovered-endpoint": 99.0, "empty": 50.0}, None)
+    return gate.evaluate(known, results, gate.failures(results, limits), limits)
 
 
 @query(f"""WITH {adapt.FINDINGS_SQL}, c AS (SELECT count(*) FILTER (WHERE upper(severity) = 'CRITICAL') AS a, count(*) FILTER (WHERE category = 'other') AS b FROM findings)
@@ -307,15 +312,17 @@ def removed_codes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""WITH p AS (SELECT DISTINCT l_orderkey % 50 AS endpoint, l_suppkey % 10 AS name, l_returnflag AS flag, l_orderkey % 2 AS v FROM lineitem),
-g AS (SELECT v, endpoint // 2 AS endpoint, name, min(flag) AS type, bool_or(flag = 'A') AS required FROM p WHERE NOT (v = 0 AND name = 3) AND NOT (v = 1 AND name = 4) GROUP BY ALL),
-a AS (SELECT * FROM g WHERE v = 0), b AS (SELECT * FROM g WHERE v = 1),
-j AS (SELECT coalesce(a.endpoint, b.endpoint) AS endpoint, coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'parameter-removed' WHEN a.name IS NULL AND b.required THEN 'required-parameter-added' WHEN a.name IS NULL THEN 'optional-parameter-added'
-  WHEN a.type <> b.type THEN 'type-changed' END AS change FROM a FULL JOIN b ON a.endpoint = b.endpoint AND a.name = b.name)
-SELECT endpoint, name, change, change <> 'optional-parameter-added' AS breaking FROM j WHERE change IS NOT NULL""")
+g AS (SELECT v, endpoint // 2 AS endpoint, name, min(flag) AS type, CASE WHEN (endpoint // 2 + name + v) % 4 = 0 THEN 'int64' END AS format, (endpoint // 2 * 3 + name * 5 + v) % 3 = 0 AS required FROM p WHERE NOT (v = 0 AND name = 3) AND NOT (v = 1 AND name = 4) GROUP BY ALL),
+a AS (SELECT * FROM g WHERE v = 0), b AS (SELECT * FROM g WHERE v = 1)
+SELECT endpoint, name, 'parameter-removed' AS change, required AS breaking FROM a WHERE NOT EXISTS (FROM b WHERE b.endpoint = a.endpoint AND b.name = a.name) AND endpoint IN (SELECT endpoint FROM b)
+UNION ALL SELECT endpoint, name, 'required-parameter-added', true FROM b WHERE required AND NOT EXISTS (FROM a WHERE b.endpoint = a.endpoint AND b.name = a.name) AND endpoint IN (SELECT endpoint FROM a)
+UNION ALL SELECT endpoint, name, 'type-changed', true FROM a JOIN b USING (endpoint, name) WHERE a.type <> b.type OR a.format IS DISTINCT FROM b.format
+UNION ALL SELECT endpoint, name, 'became-required', true FROM a JOIN b USING (endpoint, name) WHERE NOT a.required AND b.required""")
 def parameter_changes(spark: SparkSession, d: str) -> DataFrame:
     """J-14."""
-    p = adapt.table(spark, d, "lineitem").select((F.col("l_orderkey") % 50).alias("e"), (F.col("l_suppkey") % 10).alias("name"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 2).alias("v"))
-    g = p.filter("not (v = 0 and name = 3) and not (v = 1 and name = 4)").groupBy("v", F.expr("e div 2").alias("endpoint"), "name").agg(F.min("flag").alias("type"), F.bool_or(F.col("flag") == "A").alias("required"))
+    p = adapt.table(spark, d, "lineitem").select(F.expr("l_orderkey % 50 div 2").alias("endpoint"), (F.col("l_suppkey") % 10).alias("name"), F.col("l_returnflag").alias("flag"), (F.col("l_orderkey") % 2).alias("v"))
+    g = p.filter("not (v = 0 and name = 3) and not (v = 1 and name = 4)").groupBy("v", "endpoint", "name").agg(F.min("flag").alias("type"))
+    g = g.withColumns({"format": F.when((F.col("endpoint") + F.col("name") + F.col("v")) % 4 == 0, "int64"), "required": (F.col("endpoint") * 3 + F.col("name") * 5 + F.col("v")) % 3 == 0})
     return compat.parameter_changes(g.filter("v = 0").drop("v"), g.filter("v = 1").drop("v"), ["endpoint"], ["name"])
 
 
@@ -351,10 +358,10 @@ def confidence_levels(spark: SparkSession, d: str) -> DataFrame:
   SELECT source, target, 1 FROM edges WHERE type = 'lives' UNION SELECT root, target, depth + 1 FROM walk JOIN edges ON node = source WHERE depth < 8)
 SELECT root, node, min(depth) AS depth FROM walk WHERE root <> node GROUP BY root, node""")
 def graph_reach(spark: SparkSession, d: str) -> DataFrame:
-    """G-01, G-02."""
+    """G-02."""
     edges = adapt.edges(spark, d)
     starts = edges.filter("type = 'lives'").select(F.col("source").alias("root"))
-    return graph.reachable(edges, starts, depth=8)
+    return graph.reachable(edges, starts)
 
 
 @query("""WITH a AS (SELECT n_nationkey AS id, n_name AS v, 'x' AS t FROM nation WHERE n_nationkey % 2 = 0), b AS (SELECT n_nationkey AS id, lower(n_name) AS v, CASE WHEN n_nationkey % 4 = 0 THEN 'y' ELSE 'x' END AS t FROM nation WHERE n_nationkey % 3 = 0)
@@ -389,7 +396,7 @@ def runtime_confirmed(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {adapt.CALLS_SQL}, e AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls), c AS (SELECT DISTINCT 'endpoint:' || method || ':' || path AS id FROM calls WHERE elapsed > 60) SELECT id FROM e ANTI JOIN c USING (id)""")
 def unconfirmed_endpoints(spark: SparkSession, d: str) -> DataFrame:
-    """J-19, J-21, J-28."""
+    """J-21."""
     found = runtime_confirmed(spark, d)
     return graph.unconfirmed(found.select("id"), found.filter("confirmed"))
 
@@ -407,7 +414,7 @@ def probe_conflicts(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH a AS (SELECT l_orderkey AS test, l_suppkey AS endpoint, 'direct' AS via, 0 AS p, l_linenumber AS ord FROM lineitem WHERE l_quantity > 45), b AS (SELECT l_orderkey, l_suppkey, 'asserts', 1, l_linenumber FROM lineitem WHERE l_quantity > 40),
 u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT test, endpoint, via FROM (SELECT *, row_number() OVER (PARTITION BY test, endpoint ORDER BY p, ord) AS r FROM u) WHERE r = 1""")
 def test_endpoint_map(spark: SparkSession, d: str) -> DataFrame:
-    """J-22, J-23, J-26."""
+    """J-22."""
     t = adapt.table(spark, d, "lineitem")
     parts = [t.filter(f"l_quantity > {q}").select(F.col("l_orderkey").alias("test"), F.col("l_suppkey").alias("endpoint"), F.lit(v).alias("via"), F.col("l_linenumber").alias("ord")) for q, v in ((45, "direct"), (40, "asserts"))]
     return graph.test_mapping(*parts).select("test", "endpoint", "via")
@@ -416,7 +423,7 @@ def test_endpoint_map(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH RECURSIVE l AS (SELECT p_partkey AS c, p_partkey // 2 AS p FROM part WHERE p_partkey % 7 <> 0), w(s, x, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 0 UNION ALL SELECT s, p, n + 1 FROM w JOIN l ON x = c WHERE n < 5 AND c <> p)
 SELECT s AS start, arg_max(x, n) AS last, max(n)::INT AS length FROM w GROUP BY s""")
 def inheritance_chains(spark: SparkSession, d: str) -> DataFrame:
-    """G-09, X-25."""
+    """G-09."""
     part = adapt.table(spark, d, "part").filter("p_partkey > 0")
     links = part.filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("child"), F.expr("p_partkey div 2").alias("parent"))
     return graph.chains(links, part.select(F.col("p_partkey").alias("start"))).select("start", "last", "length")
@@ -436,7 +443,7 @@ def sessionize(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH l AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role END AS r FROM conversations)
 SELECT conv_id, turn, last_value(r IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS back, first_value(r IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING) AS ahead FROM l""")
 def look_windows(spark: SparkSession, d: str) -> DataFrame:
-    """W-03, W-04, X-13, X-15."""
+    """W-03, W-04."""
     lines = adapt.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("role")).alias("r"))
     both = sequence.look_ahead(sequence.look_back(lines, "r", "conv_id", "turn", 2), "r", "conv_id", "turn", 1)
     return both.select("conv_id", "turn", "back", "ahead")
@@ -444,7 +451,7 @@ def look_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_custkey, o_orderkey AS start, coalesce(lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1000000000) AS stop FROM orders""")
 def text_segments(spark: SparkSession, d: str) -> DataFrame:
-    """W-05, X-08."""
+    """W-05."""
     marks = adapt.table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("start"), F.lit(1_000_000_000).cast("long").alias("end"))
     return sequence.segments(marks, "o_custkey", "start", "end").drop("end")
 
@@ -544,3 +551,22 @@ def recommendations(spark: SparkSession, d: str) -> DataFrame:
         F.col("id").cast("string").alias("id"), F.lit(0).alias("part"), "ord", F.lit("coverage").alias("source"), "category", "severity", F.lit("t").alias("title"), F.lit(None).cast("string").alias("method"), "path", F.col("zero").alias("zero_coverage")
     )
     return intelligence.recommendations(found).select("test_type", "path", "score", F.array_join("linked", ",").alias("linked"), "confidence")
+
+
+@query("""WITH f AS (SELECT o_orderpriority AS type, count(*) % 7 AS gap, min(o_orderkey) AS ord FROM orders GROUP BY 1)
+SELECT false AS passed, count(*) AS n_failures, arg_min(type, (-gap, ord)) AS worst, max(gap)::DOUBLE AS worst_gap FROM f""")
+def gate_verdict(spark: SparkSession, d: str) -> DataFrame:
+    """D-02, T-05: the largest gap, the first in order on ties."""
+    found = adapt.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("type")).agg((F.count("*") % 7).cast("double").alias("gap"), F.min("o_orderkey").alias("ord"))
+    return gate.verdict(found, order="ord")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation), p AS (SELECT a.k AS s, b.k AS e FROM n a, n b WHERE a.k < 5)
+SELECT s AS start, e AS "end", e % 5 = s AND e >= s AND ((s % 6 = 2 AND s <= e) OR EXISTS (FROM range(s, e + 1, 5) AS r(x) WHERE x % 6 = 2)) AS on_path FROM p""")
+def path_types(spark: SparkSession, d: str) -> DataFrame:
+    """G-03: nations linked to the fifth after them; which chains pass a node of type x."""
+    n = adapt.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("k"))
+    nodes = n.select(F.col("k").alias("id"), F.when(F.col("k") % 6 == 2, "x").otherwise("y").alias("type"))
+    edges = n.filter("k + 5 < 25").select(F.col("k").alias("id"), F.col("k").alias("source"), (F.col("k") + 5).alias("target"))
+    pairs = n.filter("k < 5").select(F.col("k").alias("start"), F.lit(1).alias("_j")).join(n.select(F.col("k").alias("end"), F.lit(1).alias("_j")), "_j").drop("_j")
+    return graph.type_on_path(edges, nodes, pairs, "x")

@@ -68,11 +68,15 @@ def test_spec_changes(spark):
     assert rows(compat.removed_codes(old, new, ["method", "path"], "codes")) == [("get", "/users", ["404"])]
     assert compat.compatibility(old, got, ["method", "path"]).first().percent == 50.0
     assert compat.compatibility(old.limit(0), got.limit(0), ["method", "path"]).first().percent == 100.0
-    p = "method string, path string, loc string, name string, type string, required boolean"
-    a = spark.createDataFrame([("get", "/users", "query", "q", "string", False), ("get", "/users", "query", "gone", "string", False)], p)
-    b = spark.createDataFrame([("get", "/users", "query", "q", "integer", False), ("get", "/users", "query", "must", "string", True), ("get", "/users", "query", "may", "string", False)], p)
+    p = "method string, path string, loc string, name string, type string, format string, required boolean"
+    at = ("get", "/users", "query")
+    a = spark.createDataFrame([(*at, "q", "string", None, False), (*at, "gone", "string", None, False), (*at, "needed", "string", None, True), (*at, "f", "integer", "int32", None), (*at, "same", "string", None, True)], p)
+    b = spark.createDataFrame([(*at, "q", "integer", None, True), (*at, "must", "string", None, True), (*at, "may", "string", None, False), (*at, "f", "integer", "int64", False), (*at, "same", "string", None, True)], p)
     got = compat.parameter_changes(a, b, ["method", "path"], ["loc", "name"])
-    assert {r.name: (r.change, r.breaking) for r in got.collect()} == {"q": ("type-changed", True), "gone": ("parameter-removed", True), "must": ("required-parameter-added", True), "may": ("optional-parameter-added", False)}
+    assert sorted((r.name, r.change, r.breaking) for r in got.collect()) == [
+        ("f", "type-changed", True), ("gone", "parameter-removed", False), ("must", "required-parameter-added", True),
+        ("needed", "parameter-removed", True), ("q", "became-required", True), ("q", "type-changed", True),
+    ]
 
 
 def test_gate(spark):
@@ -84,7 +88,12 @@ def test_gate(spark):
     assert gate.verdict(failed, mode="warn").first().passed and gate.verdict(failed, enabled=False).first().passed
     assert {r.type for r in gate.failures(results, gate.threshold_of(F.col("type"), {}, {}, None)).collect()} == {"a", "b", "c"}  # 100 without any threshold
     known = spark.createDataFrame([("a",), ("x",)], "type string")
-    assert {r.type: r.status for r in gate.evaluate(known, results, failed).collect()} == {"a": "FAIL", "b": "PASS", "c": "N/A", "x": "SKIPPED"}
+    limits = gate.threshold_of(F.col("type"), {"a": 60.0}, {"b": 80.0}, None)
+    assert {r.type: r.status for r in gate.evaluate(known, results, failed, limits).collect()} == {"a": "FAIL", "b": "PASS", "c": "N/A", "x": "SKIPPED"}
+    empty = spark.createDataFrame([("a", 0, 0.0), ("z", 5, 0.0)], results.schema)
+    assert {r.type: r.status for r in gate.evaluate(known, empty, gate.failures(empty, limits), limits).collect()} == {"a": "N/A", "x": "SKIPPED", "z": "N/A"}
+    tie = spark.createDataFrame([("ab", 5.0, 1), ("aa", 5.0, 2), ("b", 1.0, 0)], "type string, gap double, ord int")
+    assert gate.verdict(tie, order="ord").first().worst == "ab"
 
 
 def test_category_domain_is_zero_filled(spark):
@@ -152,3 +161,27 @@ def test_graph_tables(spark):
     ends = spark.createDataFrame([("e1",), ("e2",)], "id string")
     assert rows(graph.unconfirmed(ends, ends.filter("id = 'e1'"))) == [("e2",)]
     assert rows(graph.unconfirmed(ends, ends.limit(0))) == []
+
+
+def test_reach_has_no_depth_limit_and_visits_in_order(spark):
+    rows = [(k, "e", str(k), str(k + 1)) for k in range(45)] + [(100, "e", "45", "dangling"), (101, "e", "dangling", "behind"), (102, "e", "3", "side"), (1, "e", "3", "first"), (103, "e", "45", "0")]
+    edges = spark.createDataFrame(rows, "id int, type string, source string, target string")
+    nodes = spark.createDataFrame([(str(k),) for k in range(46)] + [("behind",), ("side",), ("first",)], "id string")
+    got = graph.reachable(edges, spark.createDataFrame([("0",)], "root string"), nodes=nodes, order="id").orderBy("position").collect()
+    assert [r.node for r in got[:6]] == ["1", "2", "3", "first", "4", "side"]
+    assert {r.node: r.depth for r in got} == {**{str(k): k for k in range(1, 46)}, "behind": 47, "first": 4, "side": 4}
+
+
+def test_type_on_the_first_shortest_path(spark):
+    edges = spark.createDataFrame([(1, "a", "m"), (2, "a", "h"), (3, "m", "z"), (4, "h", "z"), (5, "z", "q")], "id int, source string, target string")
+    nodes = spark.createDataFrame([("a", "x"), ("m", "mock"), ("h", "helper"), ("z", "x"), ("q", "mock")], "id string, type string")
+    pairs = spark.createDataFrame([("a", "z"), ("a", "h"), ("a", "q"), ("q", "a"), ("m", "m")], "start string, end string")
+    of = lambda kind: {(r.start, r.end): r.on_path for r in graph.type_on_path(edges, nodes, pairs, kind).collect()}
+    assert of("mock") == {("a", "z"): True, ("a", "h"): False, ("a", "q"): True, ("q", "a"): False, ("m", "m"): True}
+    assert not of("helper")["a", "z"]  # the second shortest path has it, the first has not
+
+
+def test_counts_by_dimension_have_their_domain(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", None), ("c", "x")], "`odd name` string, kind string")
+    got = coverage.zero_filled_counts(rows, {"odd name": ["a", "b"], "kind": ["y"]})
+    assert {(r.dimension, r.value): r.n for r in got.collect()} == {("odd name", "a"): 2, ("odd name", "b"): 0, ("odd name", "c"): 1, ("kind", "x"): 2, ("kind", "y"): 0}
