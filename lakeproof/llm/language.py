@@ -77,21 +77,30 @@ def _weights(counts: list[Column], n: Column, prior: list[Column], m: float) ->
     return [(c + m * p) / (n + m) for c, p in zip(counts, prior)]
 
 
+def _clean(c: Column | None) -> Column:
+    return F.lit(None).cast("string") if c is None else F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
+
+
+def row_hash(docs: DataFrame, *evidence: Column | None) -> Column:
+    """What tells rows of docs apart, and decides their language but for the corpus: doc_id, text and evidence, nulls as such."""
+    parts = [docs["text"], *map(_clean, evidence)]
+    return F.xxhash64(docs["doc_id"].cast("long"), *[x for p in parts for x in (p.isNull(), p)])
+
+
 def identify(docs: DataFrame, declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, s: Settings = Settings()) -> DataFrame:
-    """(doc_id, language, confidence, accepted, n_trigrams) for each row of docs (doc_id, text).
+    """(doc_id, language, confidence, accepted, n_trigrams, row) for each row of docs (doc_id, text); row is its row_hash.
 
     A text without letters has no text evidence: the other evidence decides. Rows of which nothing is known, or no language
     reaches s.accept, get language `und` and are not accepted. Null evidence of any kind is left out of the product. Equal
     posteriors go to the language of the smaller code. Without any declared language all rows are `und`.
     """
-    none = F.lit(None).cast("string")
-    clean = lambda c: none if c is None else F.nullif(F.lower(F.trim(c.cast("string"))), F.lit(""))
     base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), "text", clean(declared).alias("declared"), clean(suffix).alias("suffix"), clean(host).alias("host")
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), "text", _clean(declared).alias("declared"), _clean(suffix).alias("suffix"), _clean(host).alias("host"),
+        row_hash(docs, declared, suffix, host).alias("row"),
+    )
     langs, table = fit(base, s)
     if not langs:
-        return base.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("n_trigrams"))
+        return base.select("doc_id", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), F.lit(False).alias("accepted"), F.lit(0).cast("long").alias("n_trigrams"), "row")
 
     model = base.sparkSession.sparkContext.broadcast(table)  # 2 ** bits * languages * 4 bytes, 128 KB for each language
     width = len(langs)
@@ -106,9 +115,9 @@ def identify(docs: DataFrame, declared: Column | None = None, suffix: Column | N
                 for a in range(0, t.size, 1 << 16):
                     sums[k] += weights[t[a : a + (1 << 16)]].sum(axis=0)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(sums.ravel()), width).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), pa.array(sizes), lists], names=["doc_id", "declared", "suffix", "host", "n_trigrams", "fit"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), b.column(4), b.column(5), pa.array(sizes), lists], names=["doc_id", "declared", "suffix", "host", "row", "n_trigrams", "fit"])
 
-    scored = base.mapInArrow(score, "doc_id long, declared string, suffix string, host string, n_trigrams long, fit array<double>")
+    scored = base.mapInArrow(score, "doc_id long, declared string, suffix string, host string, row long, n_trigrams long, fit array<double>")
     best = F.array_position(F.col("fit"), F.array_max("fit")).cast("int") - 1
     scored = materialize(scored.withColumn("top", F.when(F.col("n_trigrams") > 0, best)), "language-text")
 
@@ -149,4 +158,4 @@ def identify(docs: DataFrame, declared: Column | None = None, suffix: Column | N
     nothing = (F.col("n_trigrams") == 0) & F.col("declared").isNull() & F.col("suffix").isNull() & F.col("host").isNull()
     accepted = ~nothing & (sure >= s.accept)
     language = F.when(accepted, F.array(*[F.lit(x) for x in langs])[F.array_position("logs", F.col("most")).cast("int") - 1]).otherwise(F.lit("und"))
-    return out.select("doc_id", language.alias("language"), sure.alias("confidence"), accepted.alias("accepted"), "n_trigrams")
+    return out.select("doc_id", language.alias("language"), sure.alias("confidence"), accepted.alias("accepted"), "n_trigrams", "row")

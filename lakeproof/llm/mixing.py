@@ -47,14 +47,20 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies:
     return leveled.select("source", "source_size", share.alias("target"))
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """What tells the rows of docs apart: doc_id, source and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), F.struct(docs["source"].isNull(), docs["source"].cast("string")), docs["text"])
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken) for each row of docs (doc_id, source, text).
+    """(doc_id, source, size, source_size, target, copies, taken, row) for each row of docs (doc_id, source, text).
 
     Null texts have size 0 and are never taken; null sources form one source, the last. Equal rows take their places in
-    turn. The order is a hash of doc_id and seed, so reruns agree. copies is the number of times the mix repeats the row.
+    turn. The order is a hash of the row (doc_id, source and text) and seed, so reruns agree, and rows without an id or with equal
+    ids are spread as others are. copies is the number of times the mix repeats the row; row is the row's hash.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
-    rows = materialize(rows.withColumn("key", F.xxhash64("doc_id", F.lit(seed))), "mix-rows")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), row_hash(docs).alias("row"))
+    rows = materialize(rows.withColumn("key", F.xxhash64("row", F.lit(seed))), "mix-rows")
     sized = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sized = materialize(sized.withColumn("buckets", F.ceil(F.sqrt("n")).cast("long")), "mix-sources")
     aims = materialize(targets(sized, weights, max_copies), "mix-targets")
@@ -73,7 +79,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = M
     inside = W.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     queued = placed.withColumn("within", F.sum("size").over(inside))
     queued = queued.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    queued = materialize(queued.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("b_start") + F.col("within")).alias("upto")), "mix-queued")
+    queued = materialize(queued.select("doc_id", "source", "key", "row", "size", "source_size", "target", (F.col("b_start") + F.col("within")).alias("upto")), "mix-queued")
 
     finish = lambda k: (F.col("source_size") * k + F.col("upto")) / F.nullif(F.col("target"), F.lit(0.0))
     budget, count = rows.agg(F.sum("size"), F.count("*")).first()
@@ -86,7 +92,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = M
         before = [(finish(k) < cut["finish"]) | ((finish(k) == cut["finish"]) & (mine < edge)) for k in range(max_copies)]
         served = sum((F.coalesce(x, F.lit(False)).cast("int") for x in before), F.lit(0))
     served = F.when(F.col("size") > 0, served).otherwise(F.lit(0))
-    return queued.select("doc_id", "source", "size", "source_size", "target", served.alias("copies"), (F.col("size") * served).alias("taken"))
+    return queued.select("doc_id", "source", "size", "source_size", "target", served.alias("copies"), (F.col("size") * served).alias("taken"), "row")
 
 
 def _cut(queued: DataFrame, finish, max_copies: int, budget: int, count: int):
@@ -108,11 +114,18 @@ def _cut(queued: DataFrame, finish, max_copies: int, budget: int, count: int):
 
 
 def repeat_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, max_copies: int = MAX_COPIES, seed: int = 0) -> DataFrame:
-    """Docs as the mix takes them: each row as often as it is served. Rows with equal doc_id and size follow the first's count."""
-    found = mix(docs, weights, max_copies, seed).filter("copies > 0")
-    counts = materialize(found.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")), "mix-copies")
-    counts = counts.select(F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), "_copies")
+    """Docs as the mix takes them: each row as often as it is served. Rows equal in doc_id, source and text share what they are
+    served together as evenly as it goes."""
+    found = mix(docs, weights, max_copies, seed)
+    counts = found.groupBy(F.col("row").alias("_mix_row")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n_rows"))
+    counts = materialize(counts.filter("_copies > 0"), "mix-copies")
     # the counts grow with the corpus: they are merged at every size, never broadcast
-    joined = docs.join(counts.hint("merge"), docs["doc_id"].eqNullSafe(F.col("_mix_id")) & docs["source"].eqNullSafe(F.col("_mix_source")))
-    served = joined.filter(n_words(F.col("text")) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return served.select(*columns(docs))
+    rows = docs.select(F.struct(*columns(docs)).alias("_doc"), row_hash(docs).alias("_row"))
+    joined = rows.join(counts.hint("merge"), F.col("_row") == F.col("_mix_row"))
+    served = joined.filter("_n_rows = 1").select("_doc", "_copies")
+    if not counts.filter("_n_rows > 1").isEmpty():
+        turn = F.row_number().over(W.partitionBy("_mix_row").orderBy("_n_rows"))
+        share = F.floor(F.col("_copies") / F.col("_n_rows")) + (turn <= F.col("_copies") % F.col("_n_rows")).cast("long")
+        served = served.unionByName(joined.filter("_n_rows > 1").select("_doc", share.alias("_copies")).filter("_copies > 0"))
+    copies = served.select("_doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copies.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns])

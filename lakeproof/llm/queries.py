@@ -37,7 +37,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents declare a language and name their source, which stands for the host; they have no address."""
     docs = table(spark, sf_dir, "documents")
-    return language.identify(docs, declared=docs["lang"], host=docs["source"])
+    return language.identify(docs, declared=docs["lang"], host=docs["source"]).drop("row")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

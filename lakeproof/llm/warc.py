@@ -24,8 +24,8 @@ from .common import materialize, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
-#: Bytes read at a time; a header must end within HEADER bytes.
-CHUNK, HEADER = 1 << 20, 1 << 16
+#: Bytes read at a time.
+CHUNK = 1 << 20
 PAGE_URN = "urn:page:"
 
 
@@ -103,7 +103,6 @@ def _member(source, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """Fields, body and compressed length of the record whose gzip member starts at `at`; None if there is none."""
     source.seek(at)
     inflate, data, used, header = zlib.decompressobj(31), [], 0, None
-    seen = 0
     step = 1 << 14
     try:
         while not inflate.eof:
@@ -113,12 +112,12 @@ def _member(source, at: int) -> tuple[dict[str, str], bytes, int] | None:
             used += len(raw)
             step = CHUNK
             data.append(inflate.decompress(raw))
-            seen += len(data[-1])
             if header is None:
                 head = b"".join(data)
                 data = [head]
                 header = parse_header(head)
-                if header is None and (seen > HEADER or not (head[:5] == b"WARC/"[: len(head[:5])])):
+                # a header may be of any length: it ends somewhere in the member, or the member is no record
+                if header is None and (b"\r\n\r\n" in head or not head.startswith(b"WARC/"[: len(head)])):
                     return None
     except zlib.error:
         return None
@@ -227,5 +226,10 @@ def digests(records: DataFrame) -> DataFrame:
 
 
 def archive_and_read(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Writes the pages as archives in the shared folder and reads them back."""
-    return digests(read(write(pages, scratch(spark, "warc"), min_bytes)))
+    """Writes the pages as archives in the shared folder and reads them back; fails unless every record written is read."""
+    manifest = write(pages, scratch(spark, "warc"), min_bytes)
+    found = materialize(digests(read(manifest)), "warc-records")
+    written, seen = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], found.count()
+    if written != seen:
+        raise ValueError(f"{written} records were written to the archives and {seen} read from them")
+    return found

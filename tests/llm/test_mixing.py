@@ -57,3 +57,17 @@ def test_empty_tables(spark):
     assert mixing.mix(df).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], df.schema)
     assert [(r.taken, r.target) for r in mixing.mix(blank).collect()] == [(0, 0.0)] * 2
+
+
+def test_rows_with_equal_or_no_ids_are_served_as_often_as_the_mix_says(spark):
+    rows = [(7, f"text {k} " * (k + 1), "a") for k in range(10)] + [(None, f"none {k}", "b") for k in range(20)] + [(1, "same same", "a")] * 5 + [(2, "word " * 30000, "b"), (3, None, "c")]
+    df = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, source string, copies int").repartition(3)
+    want = {}
+    for r in mixing.mix(df).collect():
+        want[r.row] = want.get(r.row, 0) + r.copies
+    got = {}
+    for r in mixing.repeat_mix(df).select(mixing.row_hash(df).alias("row")).collect():
+        got[r.row] = got.get(r.row, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+    each = {r.copies: r["count"] for r in mixing.repeat_mix(df).filter("doc_id = 1").groupBy("copies").count().collect()}
+    assert len(each) <= 5 and max(each.values(), default=0) - min(each.values(), default=0) <= 1

@@ -34,8 +34,12 @@ def test_stages(spark, stages):
     judged = quality.assess(before).filter("quality.kept")
     assert {(r.doc_id, r.text) for r in after.collect()} == {(r.doc_id, r.quality.clean_text) for r in judged.collect()}
     before, after = stages[2]
-    found = simhash.near_duplicates(before)
-    assert ids(after) == sorted({r.component_id for r in found.collect()})
+    grams = {r.doc_id: set(simhash.shingles((r.text or "").encode(), 5).tolist()) for r in before.collect()}
+    alike = lambda a, b: len(grams[a] & grams[b]) / max(1, len(grams[a] | grams[b]))
+    stayed = ids(after)
+    assert not [(a, b) for a in stayed for b in stayed if a < b and alike(a, b) >= 0.8]
+    for gone in set(grams) - set(stayed):
+        assert max(alike(gone, x) for x in grams if x != gone) >= 0.75
     before, after = stages[3]
     counted = {(r.doc_id): r["count"] for r in after.groupBy("doc_id").count().collect()}
     assert counted == {r.doc_id: r.copies for r in mixing.mix(before).collect() if r.copies}
@@ -60,3 +64,23 @@ def test_run_and_registry(spark):
 
     names = set(__spark_entry__.queries())
     assert set(queries.QUERIES) | {"pipeline"} <= names and {n.split("_")[0] for n in queries.QUERIES} == {f"op{k}" for k in range(1, 11)}
+
+
+def test_rows_follow_their_own_verdicts(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, extra columns of clashing names, and an empty table."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).withColumns({"row": F.lit("r"), "_copies": F.lit(1), "size": F.col("n_chars"), "key": F.lit(2)})
+    one = docs.filter("lang = 'en'").limit(1)
+    odd = one.withColumns({"doc_id": F.lit(None).cast("long"), "text": F.lit(None).cast("string")})
+    named = one.withColumn("text", F.lit(""))
+    rows = docs.unionByName(odd).unionByName(named).unionByName(one).unionByName(one.withColumn("doc_id", F.lit(None).cast("long")))
+    before = rows
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        after = mixing.materialize(f(spark, before, DATA), "test-stage")
+        assert after.columns == rows.columns and after.count() <= 3 * before.count()
+        empty = f(spark, before.limit(0), DATA)
+        assert empty.columns == rows.columns and empty.count() == 0
+        before = after
+    text = one.first().text
+    kept = corpus_pipeline.drop_near_copies(spark, rows, DATA)
+    assert kept.filter(F.col("text") == text).count() == 1 and kept.filter("coalesce(text, '') = ''").count() == 1
+    assert corpus_pipeline.pack_sequences(spark, before, DATA).count() > 0

@@ -72,7 +72,7 @@ def test_documents(spark):
     assert {k: v for k, v in got.items() if k[0] is not None} == {(k, prints[k]): want[k] for k in prints}
     assert got[None, plain_print("alone here")] is None and got[None, plain_print("one two")] == 2
     kept = simhash.keep_one(df)
-    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, c) for c in set(want.values())] + [(True, 0)] * 2)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == sorted([(False, c) for c in set(want.values())] + [(True, 0)])  # the copy without id goes
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -87,3 +87,56 @@ def test_search_finds_a_spanning_forest():
     x = np.array([0, 1, 3, 1 << 20, (1 << 40) - 1], np.uint64)
     roots, members = simhash.search(x)
     assert sorted(np.concatenate(members).tolist()) == [1, 3, 1 << 20] and set(np.concatenate(roots).tolist()) == {0}
+
+
+def jaccard(a, b):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y)
+
+
+def edited(words, rng, n):
+    out = list(words)
+    for k in rng.sample(range(len(out)), n):
+        out[k] = f"new{rng.random()}"
+    return " ".join(out)
+
+
+def test_keep_one_row_of_near_copies(spark):
+    """Similar texts leave the smallest id; texts that share an id or have none are judged one by one."""
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(400)] for _ in range(6)]
+    rows = [(k, " ".join(b)) for k, b in enumerate(base)]
+    rows += [(10 + k, edited(b, rng, 4)) for k, b in enumerate(base) for _ in range(3)]  # similarity of about 0.9
+    rows += [(30 + k, edited(b, rng, 60)) for k, b in enumerate(base)]  # about 0.3
+    rows += [(None, "no id but its own text here"), (None, " ".join(base[0])), (None, "another text without any id"), (None, "another text without any id")]
+    rows += [(5, "a second text under id five"), (50, "a second text under id five"), (60, None), (61, ""), (62, " \n"), (63, "long " * 50000)]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, key int").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    want = rows[:6] + [r for r in rows if r[0] is not None and 30 <= r[0] < 40]
+    want += [(None, "no id but its own text here"), (None, "another text without any id"), (5, "a second text under id five"), (60, None), (63, "long " * 50000)]
+    assert got == sorted(want, key=str)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("limit", [2, simhash.LONG_RUN])
+def test_similar_links_find_what_is_similar(spark, limit):
+    rng = random.Random(limit)
+    texts = []
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts += [" ".join(words)] + [edited(words, rng, n) for n in (2, 4, 6, 30)]
+    prints = [simhash.wide_fingerprint(t.encode()) for t in texts]
+    nodes = [int(simhash.node(p[None, :])[0].view(np.int64)) for p in prints]
+    df = spark.createDataFrame([(n, *map(int, p.view(np.int64))) for n, p in zip(nodes, prints)], "node long, " + ", ".join(f"f{k} long" for k in range(6)))
+    root = {r.node: r.root for r in components.components(simhash.similar_links(df, limit=limit)).collect()}
+    same = lambda a, b: root.get(nodes[a], a) == root.get(nodes[b], b)
+    pairs = [(a, b, jaccard(texts[a], texts[b])) for a in range(len(texts)) for b in range(a) if a // 5 == b // 5]
+    near = [(a, b) for a, b, j in pairs if j >= 0.85]
+    assert len(near) > 30 and sum(same(a, b) for a, b in near) >= 0.98 * len(near)
+    assert not any(same(a, b) for a, b, j in pairs if j < 0.6)

@@ -67,3 +67,12 @@ def test_damage_and_false_magic_are_passed_over():
         for start in range(0, len(data), step):
             found += [body for _, _, body in warc.read_range(io.BytesIO(data), len(data), start, min(len(data), start + step))]
         assert found == [b"payload 0", b"payload 1", b"payload 3"]
+
+
+def test_a_very_long_url_loses_no_page(spark):
+    import random
+
+    url = "http://h/" + "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5 << 20))
+    df = spark.createDataFrame([(1, url, "x"), (2, "http://h/", "y"), (3, url[:200_000], "x")], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive_and_read(spark, df).collect()}
+    assert got == {1: ("response", None), 2: ("response", None), 3: ("revisit", 1)}
