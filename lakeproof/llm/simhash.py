@@ -117,45 +117,57 @@ def node(fps: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, distance: int = DISTANCE) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Links that connect every two of the fingerprints x (words, or rows of words) within `distance`, each member to the first found of
-    its component."""
-    left, roots, members = x, [], []
+def search_at(x: np.ndarray, distance: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Places of linked pairs that connect every two of the fingerprints x (words, or rows of words) within `distance`; each
+    place but the first of a component is reached once."""
+    left, at, sources, members = x, np.arange(len(x)), [], []
     while len(left) > 1:
-        root, left = left[:1], left[1:]
-        queue = [root[0]]
+        queue = [(at[0], left[0])]
+        left, at = left[1:], at[1:]
         while queue and len(left):
-            near = differing(left, queue.pop()) <= distance
+            source, print_ = queue.pop()
+            near = differing(left, print_) <= distance
             if near.any():
-                found = left[near]
-                roots.append(np.repeat(root, len(found), axis=0))
-                members.append(found)
-                queue.extend(found)
-                left = left[~near]
-    return roots, members
+                sources.append(np.full(int(near.sum()), source))
+                members.append(at[near])
+                queue.extend(zip(at[near], left[near]))
+                left, at = left[~near], at[~near]
+    return sources, members
+
+
+def search(x: np.ndarray, distance: int = DISTANCE) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The linked fingerprints at the places of search_at."""
+    sources, members = search_at(x, distance)
+    return [x[k] for k in sources], [x[k] for k in members]
+
 
+def _links(keys: np.ndarray, fps: np.ndarray, names: np.ndarray, forest: Forest, distance: int) -> None:
+    """Adds the verified links of whole runs of equal keys to the forest, by names; a link within one name tells nothing."""
+
+    def add(a: np.ndarray, b: np.ndarray) -> None:
+        a, b = names[a], names[b]
+        forest.add(a[a != b], b[a != b])
 
-def _links(keys: np.ndarray, fps: np.ndarray, forest: Forest, distance: int) -> None:
-    """Adds the verified links of whole runs of equal keys to the forest."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if keys.size else np.array([], int)
     sizes = np.diff(np.concatenate((starts, [keys.size])))
     for s, n in zip(starts[sizes > SHORT_RUN], sizes[sizes > SHORT_RUN]):
-        for a, b in zip(*search(fps[s : s + n], distance)):
-            forest.add(node(a), node(b))
+        for a, b in zip(*search_at(fps[s : s + n], distance)):
+            add(s + a, s + b)
     run = np.repeat(sizes, sizes)
-    keep = (run > 1) & (run <= SHORT_RUN)
-    keys, fps = keys[keep], fps[keep]
+    short = np.flatnonzero((run > 1) & (run <= SHORT_RUN))
+    keys, fps = keys[short], fps[short]
     for d in range(1, SHORT_RUN):
-        same = keys[d:] == keys[:-d]
-        if not same.any():
+        same = np.flatnonzero(keys[d:] == keys[:-d])
+        if not same.size:
             break
-        a, b = fps[:-d][same], fps[d:][same]
-        near = differing(a, b) <= distance
-        forest.add(node(a[near]), node(b[near]))
+        near = same[differing(fps[same], fps[same + d]) <= distance]
+        add(short[near], short[near + d])
 
 
 def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
-    """Streams (key, words of the fingerprint) rows sorted by key; yields (a, b, long_key): links, or the key of a run over the limit."""
+    """Streams (key, name, words of the fingerprint) rows sorted by key, of one word without a name, which is the word itself;
+    yields (a, b, long_key): links between names, or the key of a run over the limit."""
+    first = 1 if words == 1 else 2
 
     def out(forest: Forest, over: list[int]) -> pa.RecordBatch:
         a, b = forest.links()
@@ -164,26 +176,26 @@ def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, over, skip = Forest(), [], None
-        keys, fps = np.array([], np.int64), np.zeros((0, words), np.uint64)
+        keys, names, fps = np.array([], np.int64), np.array([], np.uint64), np.zeros((0, words), np.uint64)
         for batch in batches:
-            k = batch.column(0).to_numpy()
-            f = np.stack([batch.column(1 + j).to_numpy().view(np.uint64) for j in range(words)], axis=1)
+            k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            f = np.stack([batch.column(first + j).to_numpy().view(np.uint64) for j in range(words)], axis=1)
             if skip is not None:
-                k, f = k[k != skip], f[k != skip]
-            keys, fps = np.concatenate((keys, k)), np.concatenate((fps, f))
+                k, n, f = k[k != skip], n[k != skip], f[k != skip]
+            keys, names, fps = np.concatenate((keys, k)), np.concatenate((names, n)), np.concatenate((fps, f))
             if not keys.size:
                 continue
             whole = int(np.searchsorted(keys, keys[-1]))
-            _links(keys[:whole], fps[:whole], forest, distance)
-            keys, fps = keys[whole:], fps[whole:]
+            _links(keys[:whole], fps[:whole], names[:whole], forest, distance)
+            keys, fps, names = keys[whole:], fps[whole:], names[whole:]
             if limit and keys.size > limit:
                 skip = int(keys[0])
                 over.append(skip)
-                keys, fps = keys[:0], fps[:0]
+                keys, fps, names = keys[:0], fps[:0], names[:0]
             if forest.pending > 1 << 20:
                 yield out(forest, [])
                 forest = Forest()
-        _links(keys, fps, forest, distance)
+        _links(keys, fps, names, forest, distance)
         yield out(forest, over)
 
     return link
@@ -191,24 +203,25 @@ def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
 
 def links(distinct: DataFrame, limit: int = LONG_RUN) -> DataFrame:
     """(a, b): links that connect all fingerprints of the column fp that differ in at most DISTANCE bits, directly or in turn."""
-    return _indexed_links(distinct, ["fp"], variants(F.col("fp")), lambda key: sub_variants(F.col("fp"), key), DISTANCE, limit)
+    return _indexed_links(distinct, ["fp"], 1, variants(F.col("fp")), lambda key: sub_variants(F.col("fp"), key), DISTANCE, limit)
 
 
-def _indexed_links(distinct: DataFrame, words: list[str], index: Column, again: Callable[[Column], Column], distance: int, limit: int) -> DataFrame:
-    """Links of fingerprints (columns `words`) that share a key of `index`; runs over the limit are split by the keys of `again`."""
+def _indexed_links(distinct: DataFrame, carried: list[str], words: int, index: Column, again: Callable[[Column], Column], distance: int, limit: int) -> DataFrame:
+    """Links of fingerprints that share a key of `index`; runs over the limit are split by the keys of `again`. The columns
+    carried are a name and the words, or the one word."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = distinct.select(F.explode(index).alias("key"), *words)
+    indexed = distinct.select(F.explode(index).alias("key"), *carried)
     schema = "a long, b long, long_key long"
 
     def link(rows: DataFrame, most: int) -> DataFrame:
-        return materialize(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(most, len(words), distance), schema), "simhash-links")
+        return materialize(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(most, words, distance), schema), "simhash-links")
 
     found = link(indexed, limit)
     out, over = found.filter("long_key is null").select("a", "b"), found.filter("long_key is not null")
     if over.isEmpty():
         return out
-    rest = indexed.join(over.select(F.col("long_key").alias("key")), "key").select(F.explode(again(F.col("key"))).alias("sub"), "key", *words)
-    return out.unionAll(link(rest.select(F.xxhash64("key", "sub").alias("key"), *words), 0).select("a", "b"))
+    rest = indexed.join(over.select(F.col("long_key").alias("key")), "key").select(F.explode(again(F.col("key"))).alias("sub"), "key", *carried)
+    return out.unionAll(link(rest.select(F.xxhash64("key", "sub").alias("key"), *carried), 0).select("a", "b"))
 
 
 #: Tasks that the rows of one root are dealt to when they learn their component's name.
@@ -262,17 +275,23 @@ def wide_fingerprint(text: bytes | None, near: Near = Near()) -> np.ndarray:
 
 
 def similar_links(distinct: DataFrame, near: Near = Near(), limit: int = LONG_RUN) -> DataFrame:
-    """(a, b): links between nodes whose fingerprints (columns f0, f1, ...) are near enough, by one pass for each word.
+    """(a, b): links that connect the nodes whose fingerprints (columns f0, f1, ...) are near enough, by one pass for each word.
 
     A pass finds a pair that differs in at most one bit of one of the word's three segments; a pair just as similar as asked is
     found by some pass with a chance of 1 - 0.85 ** (3 * words), 95 % with 6 words.
     """
     words = [f"f{k}" for k in range(near.words)]
-    out = None
-    for k, mine in enumerate(words):
+
+    def by_word(named: DataFrame, k: int) -> DataFrame:
         others = F.concat(*[F.transform(variants(F.col(w)), lambda x, at=j: F.xxhash64(x, F.lit(at))) for j, w in enumerate(words) if j != k])
-        found = _indexed_links(distinct, words, variants(F.col(mine)), lambda key, others=others: others, near.distance, limit)
-        out = found if out is None else out.unionAll(found)
+        return _indexed_links(named, ["node", *words], near.words, variants(F.col(words[k])), lambda key: others, near.distance, limit)
+
+    # what the first word connects bears one name from then on, so later passes tell of new links only
+    roots = materialize(components(by_word(distinct, 0)).select(F.col("node").alias("a"), F.col("root").alias("b")), "simhash-first")
+    named = distinct.join(roots, F.col("node") == F.col("a"), "left").select(F.coalesce("b", "node").alias("node"), *words)
+    named, out = materialize(named, "simhash-named"), roots
+    for k in range(1, near.words):
+        out = out.unionAll(by_word(named, k))
     return out
 
 
