@@ -66,7 +66,8 @@ def test_rows_with_equal_or_no_ids_are_served_as_often_as_the_mix_says(spark):
     for r in mixing.mix(df).collect():
         want[r.row] = want.get(r.row, 0) + r.copies
     got = {}
-    for r in mixing.repeat_mix(df).select(mixing.row_hash(df).alias("row")).collect():
+    mixed = mixing.repeat_mix(df)
+    for r in mixed.select(mixing.row_hash(mixed).alias("row")).collect():
         got[r.row] = got.get(r.row, 0) + 1
     assert got == {k: n for k, n in want.items() if n}
     each = {r.copies: r["count"] for r in mixing.repeat_mix(df).filter("doc_id = 1").groupBy("copies").count().collect()}
