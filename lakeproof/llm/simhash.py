@@ -3,7 +3,9 @@
 Up to `distance` = 4 differing bits over three segments leave one segment with at most one differing bit. Every distinct
 fingerprint is therefore indexed under its 64 one-wildcard segment variants; two linked fingerprints share at least one.
 Equal variants meet by a shuffle, are verified by their Hamming distance, and give the links of a spanning forest only, so a
-dense group costs rows in proportion to its members. Copies collapse to one fingerprint before any of this.
+dense group costs rows in proportion to its members. Copies collapse to one fingerprint before any of this. A fingerprint is
+shuffled 9 times, not 64: a segment is cut into three parts, and the variants with their wildcard in one part travel as one
+row to the task named by the other two, where they are spelled out.
 
 Near copies of a given Jaccard similarity take a wide fingerprint of several 64-bit words: at similarity 0.8 about 15 % of the
 bits differ, too many for any four bits. Each word is cut and indexed as above, one pass for each, and a pair is verified over
@@ -87,6 +89,34 @@ def variants(fp: Column) -> Column:
     return _wildcards(fp, SEGMENTS)
 
 
+def _parts() -> list[tuple[int, int, int, int]]:
+    """(segment's lowest bit, its bits, part's lowest bit within it, part's bits) of the three parts of each segment."""
+    out = []
+    for low, width in SEGMENTS:
+        third = width // 3
+        out += [(low, width, 0, third), (low, width, third, third), (low, width, 2 * third, width - 2 * third)]
+    return out
+
+
+def routes(fp: Column) -> Column:
+    """One long for each part of a segment: the part's number above 32 bits of the segment without the part's bits. Equal
+    variants have equal routes."""
+    out = []
+    for number, (low, width, at, bits) in enumerate(_parts()):
+        rest = ((1 << width) - 1) & ~(((1 << bits) - 1) << at)
+        out.append(F.lit(number << 32).cast("long").bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(rest))))
+    return F.array(*out)
+
+
+def routed_variants(fp: Column, route: Column) -> Column:
+    """The variants of a fingerprint whose wildcard is in the part that a route of it names."""
+    number, out = F.shiftrightunsigned(route, 32), None
+    for k, (low, width, at, bits) in enumerate(_parts()):
+        mine = F.array(*[F.lit((low + j) << 32).cast("long").bitwiseOR(F.shiftrightunsigned(fp, low).bitwiseAND(F.lit(((1 << width) - 1) & ~(1 << j)))) for j in range(at, at + bits)])
+        out = F.when(number == k, mine) if out is None else out.when(number == k, mine)
+    return out
+
+
 def sub_variants(fp: Column, key: Column) -> Column:
     """Second-level variants for a long run: the two segments other than that of `key`, cut into three again."""
     position, out = F.shiftrightunsigned(key, 32), None
@@ -203,25 +233,28 @@ def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
 
 def links(distinct: DataFrame, limit: int = LONG_RUN) -> DataFrame:
     """(a, b): links that connect all fingerprints of the column fp that differ in at most DISTANCE bits, directly or in turn."""
-    return _indexed_links(distinct, ["fp"], 1, variants(F.col("fp")), lambda key: sub_variants(F.col("fp"), key), DISTANCE, limit)
+    return _indexed_links(distinct, ["fp"], 1, F.col("fp"), lambda key: sub_variants(F.col("fp"), key), DISTANCE, limit)
 
 
-def _indexed_links(distinct: DataFrame, carried: list[str], words: int, index: Column, again: Callable[[Column], Column], distance: int, limit: int) -> DataFrame:
-    """Links of fingerprints that share a key of `index`; runs over the limit are split by the keys of `again`. The columns
+def _indexed_links(distinct: DataFrame, carried: list[str], words: int, word: Column, again: Callable[[Column], Column], distance: int, limit: int) -> DataFrame:
+    """Links of fingerprints that share a variant of `word`; runs over the limit are split by the keys of `again`. The columns
     carried are a name and the words, or the one word."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = distinct.select(F.explode(index).alias("key"), *carried)
+    routed = distinct.select(F.explode(routes(word)).alias("route"), *carried).repartition(parts, "route")
     schema = "a long, b long, long_key long"
 
     def link(rows: DataFrame, most: int) -> DataFrame:
-        return materialize(rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_linker(most, words, distance), schema), "simhash-links")
+        """Rows with equal keys lie in one partition."""
+        return materialize(rows.sortWithinPartitions("key").mapInArrow(_linker(most, words, distance), schema), "simhash-links")
 
-    found = link(indexed, limit)
+    found = link(routed.select(F.explode(routed_variants(word, F.col("route"))).alias("key"), *carried), limit)
     out, over = found.filter("long_key is null").select("a", "b"), found.filter("long_key is not null")
     if over.isEmpty():
         return out
+    indexed = distinct.select(F.explode(variants(word)).alias("key"), *carried)
     rest = indexed.join(over.select(F.col("long_key").alias("key")), "key").select(F.explode(again(F.col("key"))).alias("sub"), "key", *carried)
-    return out.unionAll(link(rest.select(F.xxhash64("key", "sub").alias("key"), *carried), 0).select("a", "b"))
+    finer = rest.select(F.xxhash64("key", "sub").alias("key"), *carried).repartition(parts, "key")
+    return out.unionAll(link(finer, 0).select("a", "b"))
 
 
 #: Tasks that the rows of one root are dealt to when they learn their component's name.
@@ -284,7 +317,7 @@ def similar_links(distinct: DataFrame, near: Near = Near(), limit: int = LONG_RU
 
     def by_word(named: DataFrame, k: int) -> DataFrame:
         others = F.concat(*[F.transform(variants(F.col(w)), lambda x, at=j: F.xxhash64(x, F.lit(at))) for j, w in enumerate(words) if j != k])
-        return _indexed_links(named, ["node", *words], near.words, variants(F.col(words[k])), lambda key: others, near.distance, limit)
+        return _indexed_links(named, ["node", *words], near.words, F.col(words[k]), lambda key: others, near.distance, limit)
 
     # what the first word connects bears one name from then on, so later passes tell of new links only
     roots = materialize(components(by_word(distinct, 0)).select(F.col("node").alias("a"), F.col("root").alias("b")), "simhash-first")

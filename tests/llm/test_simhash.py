@@ -140,3 +140,13 @@ def test_similar_links_find_what_is_similar(spark, limit):
     near = [(a, b) for a, b, j in pairs if j >= 0.85]
     assert len(near) > 30 and sum(same(a, b) for a, b in near) >= 0.98 * len(near)
     assert not any(same(a, b) for a, b, j in pairs if j < 0.6)
+
+
+def test_routes_spell_out_every_variant_once(spark):
+    fps = [0, -1, 1 << 20, 1 << 41, -(1 << 63), 0x123456789ABCDEF, -987654321987654321]
+    d = spark.createDataFrame([(x,) for x in fps], "fp long")
+    whole = d.select("fp", F.explode(simhash.variants(F.col("fp"))).alias("key"))
+    routed = d.select("fp", F.explode(simhash.routes(F.col("fp"))).alias("route"))
+    spelled = routed.select("fp", "route", F.explode(simhash.routed_variants(F.col("fp"), F.col("route"))).alias("key"))
+    assert sorted(whole.collect()) == sorted(spelled.select("fp", "key").collect())
+    assert spelled.groupBy("key").agg(F.count_distinct("route").alias("n")).filter("n > 1").isEmpty()
