@@ -2,13 +2,15 @@
 
 A document's whole windows are cut off its front; the rest goes to the fill level that keeps the sum of squared counts of
 partly filled windows smallest. The levels are an array of counts per task; tasks pack their own input split, so nothing is
-shuffled and a lost task is simply packed again. At the end of a split the open windows are joined, cut anew at the window
-size, and the last one is split into powers of two, which need no padding.
+shuffled and a lost task is simply packed again. At the end of a split the emptiest open windows are cut up to fill the gaps
+of the fullest, which keep what was placed in them; the rest, below one window, is split into powers of two, which need no
+padding.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,18 +87,39 @@ class Packing:
                     yield d, start, len(part), zlib.crc32(part.tobytes()), n, at, off
 
     def flush(self) -> Iterator[tuple]:
-        """Joins the open windows: as many whole windows as they fill, then powers of two."""
-        parts = [p for at in sorted(self.held) for p in self.held[at]]
-        left = sum(len(p[2]) for p in parts)
-        sizes = [self.window] * (left // self.window) + powers(left % self.window)
-        room, offset, at = 0, 0, 0
-        for doc_id, start, ids, total, _ in parts:
-            while len(ids):
-                if not room:
-                    room, offset, at = sizes.pop(0), 0, self.packer.new_window()
+        """Fills the open windows, fullest first, with pieces of the emptiest; what is left of those is cut into powers of two.
+
+        A window that is filled keeps all that the level array placed in it.
+        """
+        open_ = deque(sorted(self.held.items(), key=lambda x: -sum(len(p[2]) for p in x[1])))
+        spare: deque[tuple] = deque()
+
+        def give(room: int, at: int, offset: int) -> Iterator[tuple]:
+            while room and spare:
+                doc_id, start, ids, total = spare.popleft()
                 n = min(room, len(ids))
                 yield doc_id, start, n, zlib.crc32(ids[:n].tobytes()), total, at, offset
-                ids, start, offset, room = ids[n:], start + n, offset + n, room - n
+                room, offset = room - n, offset + n
+                if n < len(ids):
+                    spare.appendleft((doc_id, start + n, ids[n:], total))
+
+        loose = 0
+        while open_:
+            at, parts = open_.popleft()
+            fill = sum(len(p[2]) for p in parts)
+            while open_ and loose < self.window - fill:
+                spare.extend(p[:4] for p in open_.pop()[1])
+                loose = sum(len(p[2]) for p in spare)
+            if loose < self.window - fill:
+                spare.extendleft(p[:4] for p in reversed(parts))
+                break
+            for doc_id, start, ids, total, offset in parts:
+                yield doc_id, start, len(ids), zlib.crc32(ids.tobytes()), total, at, offset
+            yield from give(self.window - fill, at, fill)
+            loose -= self.window - fill
+        left = sum(len(p[2]) for p in spare)
+        for size in [self.window] * (left // self.window) + powers(left % self.window):
+            yield from give(size, self.packer.new_window(), 0)
         self.held.clear()
 
 

@@ -88,3 +88,28 @@ def test_levels_follow_the_rule(seed):
             now[f] += f < window
         assert cost(now) == min(options)
         assert [int(x) for x in p.counts[1:window]] == [now[h] for h in range(1, window)]
+
+
+def test_open_windows_keep_their_placements():
+    """Of the tails' tokens the flush moves few; sequences are gapless, whole or a power of two, and every id lies in one piece."""
+    rng, p = np.random.default_rng(1), packing.Packing()
+    rows, tails = [], 0
+    for d in range(1250):
+        n = int(rng.lognormal(6, 1)) + 1
+        tails += n % 1024
+        rows += list(p.add(d, np.arange(n).astype("<u4")))
+    held = {(q[0], q[1], len(q[2]), at) for at, parts in p.held.items() for q in parts}
+    flushed = list(p.flush())
+    kept = sum(r[2] for r in flushed if (r[0], r[1], r[2], r[5]) in held)
+    assert sum(r[2] for r in flushed) - kept < 0.08 * tails
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows + flushed:
+        pieces[r[0]].append((r[1], r[2], r[4]))
+        sequences[r[5]].append((r[6], r[2]))
+        assert r[3] == zlib.crc32(np.arange(r[1], r[1] + r[2]).astype("<u4").tobytes())
+    for parts, whole in [*((v, v[0][2]) for v in pieces.values()), *((v, 0) for v in sequences.values())]:
+        at = 0
+        for start, length, *_ in sorted(parts):
+            assert start == at
+            at += length
+        assert at == whole if whole else at == 1024 or at & (at - 1) == 0
