@@ -14,22 +14,22 @@ from .paths import escape_regex, prefix, url_path
 # Patterns and words in order of precedence.
 MOCKS = {
     "java": (
-        ("mockito|return-value", r"@Mock\b"), ("mockito|spy", r"@Spy\b"), ("spring-test|return-value", r"@MockBean\b"), ("spring-test|spy", r"@SpyBean\b"), ("mockito|return-value", r"Mockito\.mock\("),
-        ("mockito|spy", r"Mockito\.spy\("), ("mockito|return-value", r"when\(.*\)\.thenReturn\("), ("mockito|exception", r"when\(.*\)\.thenThrow\("), ("mockito|return-value", r"doReturn\(.*\)\.when\("),
-        ("mockito|exception", r"doThrow\(.*\)\.when\("), ("mockk|return-value", r"mockk<"), ("mockk|spy", r"spyk\("), ("mockk|return-value", r"every\s*\{"), ("mockk|return-value", r"coEvery\s*\{"), ("mockk|spy", r"verify\s*\{"),
+        ("mockito", "return-value", r"@Mock\b"), ("mockito", "spy", r"@Spy\b"), ("spring-test", "return-value", r"@MockBean\b"), ("spring-test", "spy", r"@SpyBean\b"), ("mockito", "return-value", r"Mockito\.mock\("),
+        ("mockito", "spy", r"Mockito\.spy\("), ("mockito", "return-value", r"when\(.*\)\.thenReturn\("), ("mockito", "exception", r"when\(.*\)\.thenThrow\("), ("mockito", "return-value", r"doReturn\(.*\)\.when\("),
+        ("mockito", "exception", r"doThrow\(.*\)\.when\("), ("mockk", "return-value", r"mockk<"), ("mockk", "spy", r"spyk\("), ("mockk", "return-value", r"every\s*\{"), ("mockk", "return-value", r"coEvery\s*\{"), ("mockk", "spy", r"verify\s*\{"),
     ),
     "javascript": (
-        ("jest|return-value", r"jest\.mock\("), ("jest|return-value", r"jest\.fn\("), ("jest|spy", r"jest\.spyOn\("), ("jest|return-value", r"\.mockReturnValue\("), ("jest|return-value", r"\.mockResolvedValue\("),
-        ("jest|exception", r"\.mockRejectedValue\("), ("jest|return-value", r"\.mockImplementation\("), ("sinon|return-value", r"sinon\.stub\("), ("sinon|return-value", r"sinon\.mock\("), ("sinon|spy", r"sinon\.spy\("),
-        ("sinon|return-value", r"\.returns\("), ("sinon|exception", r"\.throws\("), ("nock|return-value", r"nock\("), ("jest|timer", r"\.useFakeTimers\("), ("sinon|timer", r"sinon\.useFakeTimers\("),
+        ("jest", "return-value", r"jest\.mock\("), ("jest", "return-value", r"jest\.fn\("), ("jest", "spy", r"jest\.spyOn\("), ("jest", "return-value", r"\.mockReturnValue\("), ("jest", "return-value", r"\.mockResolvedValue\("),
+        ("jest", "exception", r"\.mockRejectedValue\("), ("jest", "return-value", r"\.mockImplementation\("), ("sinon", "return-value", r"sinon\.stub\("), ("sinon", "return-value", r"sinon\.mock\("), ("sinon", "spy", r"sinon\.spy\("),
+        ("sinon", "return-value", r"\.returns\("), ("sinon", "exception", r"\.throws\("), ("nock", "return-value", r"nock\("), ("jest", "timer", r"\.useFakeTimers\("), ("sinon", "timer", r"sinon\.useFakeTimers\("),
     ),
     "python": (
-        ("unittest.mock|return-value", r"@patch\("), ("unittest.mock|return-value", r"@patch\.object\("), ("unittest.mock|return-value", r"Mock\(\)"), ("unittest.mock|return-value", r"MagicMock\(\)"), ("unittest.mock|return-value", r"AsyncMock\(\)"),
-        ("pytest-mock|return-value", r"mocker\.patch\("), ("pytest-mock|spy", r"mocker\.spy\("), ("unittest.mock|return-value", r"\.return_value\s*="), ("unittest.mock|exception", r"\.side_effect\s*="), ("responses|return-value", r"responses\.add\("),
-        ("requests-mock|return-value", r"requests_mock\."), ("freezegun|timer", r"freezegun|freeze_time"),
+        ("unittest.mock", "return-value", r"@patch\("), ("unittest.mock", "return-value", r"@patch\.object\("), ("unittest.mock", "return-value", r"Mock\(\)"), ("unittest.mock", "return-value", r"MagicMock\(\)"), ("unittest.mock", "return-value", r"AsyncMock\(\)"),
+        ("pytest-mock", "return-value", r"mocker\.patch\("), ("pytest-mock", "spy", r"mocker\.spy\("), ("unittest.mock", "return-value", r"\.return_value\s*="), ("unittest.mock", "exception", r"\.side_effect\s*="), ("responses", "return-value", r"responses\.add\("),
+        ("requests-mock", "return-value", r"requests_mock\."), ("freezegun", "timer", r"freezegun|freeze_time"),
     ),
     "ruby": (
-        ("rspec-mocks|return-value", r"allow\(.*\)\.to\s+receive\("), ("rspec-mocks|spy", r"expect\(.*\)\.to\s+receive\("), ("rspec-mocks|return-value", r"double\("), ("rspec-mocks|return-value", r"instance_double\("), ("webmock|return-value", r"stub_request\("),
+        ("rspec-mocks", "return-value", r"allow\(.*\)\.to\s+receive\("), ("rspec-mocks", "spy", r"expect\(.*\)\.to\s+receive\("), ("rspec-mocks", "return-value", r"double\("), ("rspec-mocks", "return-value", r"instance_double\("), ("webmock", "return-value", r"stub_request\("),
     ),
 }
 RULE_PATTERNS = (
@@ -105,9 +105,8 @@ def lines_of(files: DataFrame) -> DataFrame:
 def mock_of(line: Column, family: str | None = None) -> Column:
     """X-17: struct (library, kind, target) of the first mock pattern in a line, of one family or of all, else null."""
     patterns = MOCKS[family] if family else MOCKS["javascript"] + MOCKS["java"] + MOCKS["python"] + MOCKS["ruby"]
-    found = first_pattern(line, list(patterns))
     target = F.coalesce(F.nullif(F.regexp_extract(line, r"""\(\s*['"`]?([a-zA-Z0-9_./@]+)['"`]?""", 1), F.lit("")), F.lit("unknown"))
-    return F.when(found.isNotNull(), F.struct(F.split_part(found, F.lit("|"), F.lit(1)).alias("library"), F.split_part(found, F.lit("|"), F.lit(2)).alias("kind"), target.alias("target")))
+    return F.coalesce(*[F.when(line.rlike(p), F.struct(F.lit(library).alias("library"), F.lit(kind).alias("kind"), target.alias("target"))) for library, kind, p in patterns])
 
 
 def call_of(line: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import percent_fixed
 from ..functions.paths import contract_regex
-from .keys import best_match
+from .keys import SLOT, SLOT_PATTERN, best_match, literal_join
 
 
 def endpoint_changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,14 +50,24 @@ def parameter_changes(old: DataFrame, new: DataFrame, endpoint: list[str], ident
 def contract_matches(interactions: DataFrame, operations: DataFrame) -> DataFrame:
     """J-15: each contract interaction (id, method, path, status) with the first operation (method, path, codes, ord) it fits.
 
-    Status compatible, incompatible, or missing without an operation. Methods meet by equi join, paths by pattern.
+    Status compatible, incompatible, or missing without an operation. Distinct methods and paths meet templates by the literal
+    segments of both; only templates with other characters that mean something in patterns meet all paths of their method.
     """
-    ops = operations.select(F.lower("method").alias("_m"), F.col("path").alias("template"), "codes", "ord", contract_regex(F.col("path")).alias("_re"))
-    pairs = interactions.join(ops, (F.lower("method") == F.col("_m")) & F.call_function("rlike", F.col("path"), F.col("_re")))
-    first = best_match(pairs, ["id"], "ord", ["template"]).select("id", "template", "codes")
+    named = F.regexp_replace("path", r":([A-Za-z0-9_]+)", "{$1}")
+    shape = F.regexp_replace(named, r"\{[^}]+\}", SLOT)
+    ops = operations.select(F.lower("method").alias("_m"), F.col("path").alias("template"), "codes", "ord", contract_regex(F.col("path")).alias("_re"), shape.alias("_shape"))
+    plain = ~F.regexp_replace("_shape", SLOT_PATTERN, "").rlike(r"[\\^$.|?*+()\[\]{}]")
+    asked = interactions.select(F.lower("method").alias("method"), "path").distinct()
+    kept = ["method", "path", "template", "codes", "ord"]
+    fits = F.call_function("rlike", F.col("path"), F.col("_re"))
+    by_key = literal_join(asked, ops.filter(plain), "method", "path", "_m", "_shape").filter(fits).select(*kept)
+    loose = asked.join(ops.filter(~plain), (F.col("method") == F.col("_m")) & fits).select(*kept)
+    first = best_match(by_key.unionByName(loose), ["method", "path"], "ord", ["template"])
+    first = first.select(F.col("method").alias("_m"), F.col("path").alias("_p"), "template", "codes")
     ok = F.array_contains("codes", F.col("status").cast("string")) | F.array_contains("codes", "default")
     status = F.when(F.col("template").isNull(), "missing").when(ok, "compatible").otherwise("incompatible")
-    return interactions.join(first, "id", "left").select("id", "method", "path", "status", "template", status.alias("result"))
+    joined = interactions.join(first, (F.lower("method") == F.col("_m")) & (F.col("path") == F.col("_p")), "left")
+    return joined.select("id", "method", "path", "status", "template", status.alias("result"))
 
 
 def compatibility(total: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:

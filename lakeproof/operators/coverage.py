@@ -10,22 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.numeric import percent, percent_scaled, share_of_flags
+from .keys import SLOT, literal_join
 
 
 def match_calls(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
     """J-01 (R-1): (method, path, n_calls) of the calls (method, path) that fit each endpoint (method, path); uncovered ones have 0.
 
-    Calls are counted by method and path first and then meet templates by an equi join on method, segment count and the first
-    literal segment or `{}`; only what is left is tested by pattern. Neither side is assumed to be small.
+    Calls are counted by method and path first and then meet templates by an equi join on all literal segments; only what is left
+    is tested by pattern. Neither side is assumed to be small.
     """
     counted = calls.filter(~paths.has_placeholder(F.col("path"))).groupBy(F.col("method").alias("c_method"), F.col("path").alias("c_path")).agg(F.count("*").alias("n"))
-    head = lambda c: F.get(F.split(c, "/", -1), F.lit(1))
-    size = lambda c: F.size(F.split(c, "/", -1))
-    ends = endpoints.select("method", "path").distinct()
-    ends = ends.withColumns({"size": size(F.col("path")), "head": F.when(F.contains(head(F.col("path")), F.lit("{")), F.lit("{}")).otherwise(F.coalesce(head(F.col("path")), F.lit("")))})
-    facts = counted.withColumn("c_size", size(F.col("c_path"))).withColumn("c_head", F.explode(F.array(F.coalesce(head(F.col("c_path")), F.lit("")), F.lit("{}"))))
-    hit = (F.col("method") == F.col("c_method")) & (F.col("size") == F.col("c_size")) & (F.col("head") == F.col("c_head"))
-    joined = facts.join(ends, hit & F.call_function("rlike", F.col("c_path"), paths.path_to_regex(F.col("path"))))
+    ends = endpoints.select("method", "path").distinct().withColumn("_shape", F.regexp_replace("path", r"\{[^}]+\}", SLOT))
+    joined = literal_join(counted, ends, "c_method", "c_path", "method", "_shape").filter(F.call_function("rlike", F.col("c_path"), paths.path_to_regex(F.col("path"))))
     found = joined.groupBy("method", "path").agg(F.sum("n").alias("n_calls"))
     return endpoints.select("method", "path").distinct().join(found, ["method", "path"], "left").withColumn("n_calls", F.coalesce("n_calls", F.lit(0)))
 

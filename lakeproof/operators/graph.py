@@ -44,25 +44,25 @@ def reachable(edges: DataFrame, starts: DataFrame, edge_types: Sequence[str] = (
 
 def type_on_path(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, node_type: str, order: str = "id") -> DataFrame:
     """G-03: pairs (start, end) with a flag whether the first shortest path between them, by breadth-first visits that take edges
-    by `order`, passes a node (id, type) of the type, ends included. No path, no flag."""
+    by `order`, passes a node (id, type) of the type between its ends. No path, no flag."""
     steps = edges.groupBy(F.col("source").alias("_from"), F.col("target").alias("_to")).agg(F.min(order).alias("_ord"))
-    typed = nodes.select(F.col("id").alias("_id"), (F.col("type") == node_type).alias("_is")).groupBy("_id").agg(F.bool_or("_is").alias("_is"))
+    typed = nodes.filter(F.col("type") == node_type).select(F.col("id").alias("_id")).distinct().withColumn("_is", F.lit(True))
     lasting = edges.sparkSession.sparkContext.getCheckpointDir()
     saved = (lambda d: d.checkpoint()) if lasting else (lambda d: d.cache())
-    flag = lambda d, c: d.join(typed, F.col(c) == F.col("_id"), "left").withColumn("hit", F.col("hit") | F.coalesce("_is", F.lit(False))).drop("_id", "_is")
-    first = pairs.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(False).alias("hit"))
-    frontier = found = flag(first, "node")
+    # `behind` tells of the nodes between start and node, `typed` of the node itself; a start counts for neither
+    frontier = found = pairs.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("position"), F.lit(False).alias("behind"), F.lit(False).alias("typed"))
     while True:
-        step = frontier.join(steps, F.col("node") == F.col("_from")).groupBy("start", F.col("_to").alias("node"))
-        step = step.agg(F.min(F.struct("position", "_ord", "hit")).alias("_via")).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        step = frontier.join(steps, F.col("node") == F.col("_from")).withColumn("behind", F.col("behind") | F.col("typed")).groupBy("start", F.col("_to").alias("node"))
+        step = step.agg(F.min(F.struct("position", "_ord", "behind")).alias("_via")).join(found.select("start", "node"), ["start", "node"], "left_anti")
         place = F.row_number().over(W.partitionBy("start").orderBy("_via", "node")).cast("long")
-        frontier = saved(flag(step.select("start", "node", place.alias("position"), F.col("_via.hit").alias("hit")), "node"))
+        step = step.withColumn("position", place).join(typed, F.col("node") == F.col("_id"), "left")
+        frontier = saved(step.select("start", "node", "position", F.col("_via.behind").alias("behind"), F.coalesce("_is", F.lit(False)).alias("typed")))
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
-    ends = found.select(F.col("start").alias("_s"), F.col("node").alias("_e"), "hit")
+    ends = found.select(F.col("start").alias("_s"), F.col("node").alias("_e"), "behind")
     joined = pairs.join(ends, (F.col("start") == F.col("_s")) & (F.col("end") == F.col("_e")), "left")
-    return joined.select("start", "end", F.coalesce("hit", F.lit(False)).alias("on_path"))
+    return joined.select("start", "end", F.coalesce("behind", F.lit(False)).alias("on_path"))
 
 
 def merge(nodes: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -138,3 +138,51 @@ def chains(links: DataFrame, starts: DataFrame, depth: int = 5) -> DataFrame:
         go = F.col("open") & F.col("_p").isNotNull() & ~again
         now = step.select("start", F.when(go, F.col("_p")).otherwise(F.col("last")).alias("last"), F.when(go, F.array_append("way", F.col("_p"))).otherwise(F.col("way")).alias("way"), (F.col("cycle") | again).alias("cycle"), go.alias("open"))
     return now.select("start", "last", (F.size("way") - 1).alias("length"), "cycle")
+
+
+def function_files(calls: DataFrame, functions: DataFrame, imports: DataFrame) -> DataFrame:
+    """J-24: calls (file, name) with the file that defines the function (file, name, ord): the caller's own, else the first of its
+    imports (file, imported, ord) that does, else the first file at all; null if none does. ord of functions orders the files."""
+    defined = functions.groupBy(F.col("name").alias("_name"), F.col("file").alias("_file")).agg(F.min("ord").alias("_ord"))
+    asked = calls.select("file", "name").distinct()
+    own = asked.join(defined, (F.col("name") == F.col("_name")) & (F.col("file") == F.col("_file"))).select("file", "name", F.lit(0).alias("tier"), "_ord", "_file")
+    reach = imports.groupBy(F.col("file").alias("_from"), "imported").agg(F.min("ord").alias("_place"))
+    via = asked.join(reach, F.col("file") == F.col("_from")).join(defined, (F.col("name") == F.col("_name")) & (F.col("imported") == F.col("_file")))
+    via = via.select("file", "name", F.lit(1).alias("tier"), F.col("_place").alias("_ord"), "_file")
+    # one file a name, found before it meets the calls
+    anywhere = defined.groupBy("_name").agg(F.min(F.struct("_ord", "_file")).alias("_first"))
+    anywhere = asked.join(anywhere, F.col("name") == F.col("_name")).select("file", "name", F.lit(2).alias("tier"), "_first._ord", "_first._file")
+    best = own.unionByName(via).unionByName(anywhere).groupBy("file", "name").agg(F.min(F.struct("tier", "_ord", "_file"))["_file"].alias("defined_in"))
+    return calls.join(best, ["file", "name"], "left")
+
+
+def auth_gaps(endpoints: DataFrame, asserted: DataFrame) -> DataFrame:
+    """J-28: gaps (path, gap) of endpoints (path, required, optional) whose path no assertion (path) names: a missing 401 test of
+    required authentication, a missing second path of optional one. Null flags are unset."""
+    bare = endpoints.join(asserted.select("path").distinct(), "path", "left_anti")
+    kinds = F.array(F.when(F.col("required"), "missing-401-test"), F.when(F.col("optional"), "missing-optional-dual-path"))
+    return bare.select("path", F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("gap"))
+
+
+def field_usage(fields: DataFrame, queried: DataFrame) -> DataFrame:
+    """J-30: schema fields (type, name) with a flag whether a query names them (name)."""
+    names = queried.select("name").distinct().withColumn("_used", F.lit(True))
+    return fields.join(names, "name", "left").select("type", "name", F.coalesce("_used", F.lit(False)).alias("covered"))
+
+
+#: Rules whose detection is part of the readers, so they always hold; SA02 and SA04 are checked.
+RULES = ("SA01", "SA02", "SA03", "SA04", "SA05", "SA06", "SA07", "SA08", "SA09", "SA10")
+
+
+def rule_violations(mounts: DataFrame, routes: DataFrame) -> DataFrame:
+    """G-14: (rule, severity, file, line, subject): router mounts (file, line, prefix, target) with a target but an empty or root
+    prefix, and routes (file, line, path, required, optional) that are both."""
+    bare = mounts.filter(F.coalesce("prefix", F.lit("")).isin("", "/") & (F.coalesce("target", F.lit("")) != ""))
+    both = routes.filter("required and optional")
+    row = lambda d, rule, severity, subject: d.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), "file", "line", F.col(subject).alias("subject"))
+    return row(bare, "SA02", "warning", "target").unionByName(row(both, "SA04", "error", "path"))
+
+
+def rules_passed(violations: DataFrame) -> DataFrame:
+    """G-14: one row (checked, passed)."""
+    return violations.agg(F.lit(len(RULES)).cast("long").alias("checked"), (F.lit(len(RULES)) - F.count_distinct("rule")).alias("passed"))

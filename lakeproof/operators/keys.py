@@ -25,6 +25,28 @@ def best_match(pairs: DataFrame, keys: Sequence[str], tier: str, order: Sequence
     return first_by(pairs, keys, [tier, *order])
 
 
+#: Stands for a placeholder of a template, alone or within a segment; no path holds it.
+SLOT = "{}"
+SLOT_PATTERN = r"\{\}"
+
+
+def literal_join(paths: DataFrame, templates: DataFrame, method: str, path: str, t_method: str, shape: str) -> DataFrame:
+    """J-01, J-15: pairs of paths and templates of equal method whose literal segments agree, by equi joins only.
+
+    shape is the template with SLOT for placeholders. The distinct positions of placeholders among templates of a method and a
+    number of segments are few; a path is blanked at each of them and then meets templates by its whole text.
+    """
+    cut = lambda c: F.split(c, "/", -1)
+    open_ = F.transform(cut(F.col(shape)), lambda x: F.contains(x, F.lit(SLOT)))
+    blank = F.array_join(F.transform(cut(F.col(shape)), lambda x: F.when(F.contains(x, F.lit(SLOT)), SLOT).otherwise(x)), "/")
+    keyed = templates.withColumns({"_open": open_, "_key": blank})
+    masks = keyed.select(F.col(t_method).alias("_mask_method"), F.size("_open").alias("_size"), F.col("_open").alias("_mask")).distinct()
+    met = paths.withColumn("_parts", cut(F.col(path))).join(masks, (F.col(method) == F.col("_mask_method")) & (F.size("_parts") == F.col("_size")))
+    blanked = F.array_join(F.transform("_parts", lambda x, i: F.when(F.get("_mask", i), SLOT).otherwise(x)), "/")
+    met = met.withColumn("_blanked", blanked).drop("_parts", "_mask", "_size")
+    return met.join(keyed.drop("_open"), (F.col("_mask_method") == F.col(t_method)) & (F.col("_blanked") == F.col("_key"))).drop("_mask_method", "_blanked", "_key")
+
+
 def union_all(*parts: DataFrame) -> DataFrame:
     """U-01: rows of all parts; columns that a part lacks are null."""
     out = parts[0]

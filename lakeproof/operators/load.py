@@ -33,13 +33,26 @@ def service_level(rows: DataFrame, response_ms: float = 500.0, error_rate: float
     return rows.withColumn("status", F.when(F.col("median").isNull(), "missing-data").when(good, "good").otherwise("needs-improvement"))
 
 
+#: Letters of a path's end by which labels are looked up.
+TAIL = 8
+
+
 def endpoint_metrics(endpoints: DataFrame, labels: DataFrame) -> DataFrame:
     """J-11: metrics of the label that fits an endpoint (id, method, path) best: equal to its id, else with path and method, else
-    with the path; the first label in order (ord) among equals. Endpoints without a label keep nulls. labels is one row a label."""
-    low, path, verb = F.lower("label"), F.lower("path"), F.lower("method")
-    tier = F.when(F.col("label") == F.col("id"), 0).when(F.contains(low, path) & F.contains(low, verb), 1).when(F.contains(low, path), 2)
-    pairs = endpoints.select("id", "method", "path").join(labels, F.contains(low, path) | (F.col("label") == F.col("id")))
-    best = best_match(pairs.withColumn("_tier", tier), ["id"], "_tier", ["ord"]).drop("_tier", "method", "path", "ord")
+    with the path; the first label in order (ord) among equals. Endpoints without a label keep nulls. labels is one row a label.
+
+    A label that contains a path contains its last letters: labels are spelled out in pieces of up to TAIL letters and meet the
+    paths' ends by an equi join before the whole path is looked for.
+    """
+    ends = endpoints.select("id", F.lower("method").alias("_method"), F.lower("path").alias("_path"))
+    low = F.lower("label")
+    pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.transform(F.sequence(F.lit(0), F.lit(TAIL)), lambda n: F.substring(low, i, n))))
+    spelled = labels.select("label", F.explode(F.array_distinct(pieces)).alias("_piece"))
+    met = ends.join(spelled, F.right("_path", F.lit(TAIL)) == F.col("_piece")).filter(F.contains(low, F.col("_path")))
+    met = met.select("id", "label", F.when(F.contains(low, F.col("_method")), 1).otherwise(2).alias("_tier"))
+    named = ends.join(labels.select("label"), F.col("id") == F.col("label")).select("id", "label", F.lit(0).alias("_tier"))
+    pairs = named.unionByName(met).join(labels.select("label", "ord"), "label")
+    best = best_match(pairs, ["id"], "_tier", ["ord"]).select("id", "label").join(labels.drop("ord"), "label")
     return endpoints.select("id", "method", "path").join(best, "id", "left")
 
 

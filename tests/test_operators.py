@@ -177,7 +177,8 @@ def test_type_on_the_first_shortest_path(spark):
     nodes = spark.createDataFrame([("a", "x"), ("m", "mock"), ("h", "helper"), ("z", "x"), ("q", "mock")], "id string, type string")
     pairs = spark.createDataFrame([("a", "z"), ("a", "h"), ("a", "q"), ("q", "a"), ("m", "m")], "start string, end string")
     of = lambda kind: {(r.start, r.end): r.on_path for r in graph.type_on_path(edges, nodes, pairs, kind).collect()}
-    assert of("mock") == {("a", "z"): True, ("a", "h"): False, ("a", "q"): True, ("q", "a"): False, ("m", "m"): True}
+    assert of("mock") == {("a", "z"): True, ("a", "h"): False, ("a", "q"): True, ("q", "a"): False, ("m", "m"): False}
+    assert not of("x")["a", "z"]  # its ends do not count
     assert not of("helper")["a", "z"]  # the second shortest path has it, the first has not
 
 
@@ -185,3 +186,45 @@ def test_counts_by_dimension_have_their_domain(spark):
     rows = spark.createDataFrame([("a", "x"), ("a", None), ("c", "x")], "`odd name` string, kind string")
     got = coverage.zero_filled_counts(rows, {"odd name": ["a", "b"], "kind": ["y"]})
     assert {(r.dimension, r.value): r.n for r in got.collect()} == {("odd name", "a"): 2, ("odd name", "b"): 0, ("odd name", "c"): 1, ("kind", "x"): 2, ("kind", "y"): 0}
+
+
+def test_contracts_and_calls_meet_templates_of_any_shape(spark):
+    """Against plain patterns over all pairs: placeholders within segments, metacharacters and deep literals."""
+    import re
+
+    templates = ["/api/users/{id}", "/api/users/me", "/api/{kind}/me", "/api/files/{name}.json", "/api/v1.0/x", "/api/any/.*", "/api/users/:id/orders", "/", ""]
+    asked = ["/api/users/7", "/api/users/me", "/api/files/a.json", "/api/files/a.txt", "/api/v1.0/x", "/api/v1z0/x", "/api/any/a/b", "/api/users/7/orders", "/api/users/7/", "/", "", None]
+    ops = spark.createDataFrame([("GET", t, ["200"], k) for k, t in enumerate(templates)], "method string, path string, codes array<string>, ord int")
+    calls = spark.createDataFrame([(k, "get", p, 200) for k, p in enumerate(asked)], "id int, method string, path string, status int")
+    got = {r.id: r.template for r in compat.contract_matches(calls, ops).collect()}
+    pattern = lambda t: re.sub(r"\{[^}]+\}", "[^/]+", re.sub(r":([A-Za-z0-9_]+)", r"{\1}", t))
+    assert got == {k: next((t for t in templates if p is not None and re.fullmatch(pattern(t), p)), None) for k, p in enumerate(asked)}
+    ends = ops.select("method", "path")
+    counts = {r.path: r.n_calls for r in coverage.match_calls(ends, calls.select(F.upper("method").alias("method"), "path")).collect()}
+    escaped = lambda t: "[^/]+".join(re.escape(x) for x in re.split(r"\{[^}]+\}", t))
+    assert counts == {t: sum(p is not None and re.fullmatch(escaped(t), p) is not None for p in asked) for t in templates}
+
+
+def test_labels_of_endpoints(spark):
+    ends = spark.createDataFrame([("a", "GET", "/users/{id}"), ("b", "POST", "/orders"), ("c", "PUT", "/x"), ("d", "GET", ""), ("lab", "GET", "/none"), ("n", "GET", None)], "id string, method string, path string")
+    labels = spark.createDataFrame([("GET /users/{id} list", 1), ("a thing /orders", 2), ("Post /ORDERS", 3), ("lab", 4), ("", 5)], "label string, ord int").withColumn("median", F.col("ord") * 1.0)
+    got = {r.id: r.label for r in load.endpoint_metrics(ends, labels).collect()}
+    assert got == {"a": "GET /users/{id} list", "b": "Post /ORDERS", "c": None, "d": "GET /users/{id} list", "lab": "lab", "n": None}
+
+
+def test_function_files_gaps_fields_and_rules(spark):
+    functions = spark.createDataFrame([("f1", "go", 1), ("f2", "go", 2), ("f2", "run", 3), ("f3", "run", 4)], "file string, name string, ord int")
+    imports = spark.createDataFrame([("f1", "f3", 1), ("f1", "f2", 2)], "file string, imported string, ord int")
+    calls = spark.createDataFrame([("f1", "go"), ("f1", "run"), ("f3", "go"), ("f1", "none")], "file string, name string")
+    got = {(r.file, r.name): r.defined_in for r in graph.function_files(calls, functions, imports).collect()}
+    assert got == {("f1", "go"): "f1", ("f1", "run"): "f3", ("f3", "go"): "f1", ("f1", "none"): None}
+    ends = spark.createDataFrame([("/a", True, False), ("/b", True, True), ("/c", None, True), ("/d", True, False)], "path string, required boolean, optional boolean")
+    gaps = graph.auth_gaps(ends, ends.filter("path = '/d'").select("path"))
+    assert rows(gaps, "path", "gap") == [("/a", "missing-401-test"), ("/b", "missing-401-test"), ("/b", "missing-optional-dual-path"), ("/c", "missing-optional-dual-path")]
+    mounts = spark.createDataFrame([("m", 1, "/", "t"), ("m", 2, None, "u"), ("m", 3, "", ""), ("m", 4, "/v", "w")], "file string, line int, prefix string, target string")
+    routes = spark.createDataFrame([("r", 9, "/b", True, True), ("r", 8, "/a", True, False)], "file string, line int, path string, required boolean, optional boolean")
+    bad = graph.rule_violations(mounts, routes)
+    assert rows(bad, "line") == [("SA02", "warning", "m", 1, "t"), ("SA02", "warning", "m", 2, "u"), ("SA04", "error", "r", 9, "/b")]
+    assert rows(graph.rules_passed(bad)) == [(10, 8)] and rows(graph.rules_passed(bad.limit(0))) == [(10, 10)]
+    fields = spark.createDataFrame([("Query", "users"), ("Query", "orders")], "type string, name string")
+    assert {r.name: r.covered for r in graph.field_usage(fields, fields.filter("name = 'users'").select("name")).collect()} == {"users": True, "orders": False}
