@@ -55,6 +55,13 @@ def union_all(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def union_lists(old: DataFrame, new: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
+    """U-02: the arrays of rows with equal keys joined: first the old values, then the new, each once. Null arrays are empty."""
+    both = old.select(*keys, F.col(column).alias("_a")).join(new.select(*keys, F.col(column).alias("_b")), list(keys), "full_outer")
+    empty = lambda c, other: F.coalesce(c, F.slice(other, 1, 0), F.array())
+    return both.select(*keys, F.array_union(empty("_a", "_b"), empty("_b", "_a")).alias(column))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """U-04: the new rows and those old rows whose key is not among them."""
     keys = new.select(F.col(key).alias("_new_key")).distinct()

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from lakeproof.plans import catalog
+from lakeproof.plans import catalog, reports  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
