@@ -1,4 +1,4 @@
-"""Text extraction with built-in regular expressions (X-01 to X-10, X-16, X-17, X-19, X-28, X-30 to X-32)."""
+"""Text extraction with built-in regular expressions (X-01 to X-09, X-16, X-17, X-19, X-28, X-31, X-32)."""
 
 from __future__ import annotations
 

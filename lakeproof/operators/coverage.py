@@ -1,4 +1,4 @@
-"""Coverage joins and reports (F-11 to F-15, J-01 to J-10, J-26, J-27, A-01 to A-08, A-13, A-23)."""
+"""Coverage joins and reports (F-11 to F-15, J-01 to J-03, J-05 to J-10, A-01 to A-07, A-10, A-22, A-23)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Graph operators over node and edge tables (G-01 to G-11, J-17 to J-22, U-06)."""
+"""Graph operators over node and edge tables (G-02 to G-04, G-09, G-14, J-17, J-18, J-20 to J-22, J-24, J-28, J-30, U-06)."""
 
 from __future__ import annotations
 

@@ -1,4 +1,4 @@
-"""Order-sensitive helpers: first and last wins, ranked lookups, top-k, union by key (U-01 to U-06, R-3, T-01 to T-11, A-14)."""
+"""Order-sensitive helpers: first and last wins, ranked lookups, top-k, union by key (U-01, U-02, U-04, U-05, R-3, T-01 to T-03, T-08, A-14)."""
 
 from __future__ import annotations
 
