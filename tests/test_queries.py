@@ -34,6 +34,24 @@ def test_query_equals_oracle(spark, con, name):
     assert plain(df.columns, df.collect()) == plain(columns, got.fetchall())
 
 
+def equals_oracle(spark, name, folder, table):
+    c = duckdb.connect()
+    c.sql(f"create view {table} as select * from read_parquet('{folder}/{table}.parquet/*.parquet')")
+    got = c.execute(catalog.ORACLES[name])
+    df = catalog.QUERIES[name](spark, folder)
+    found, expected = plain(df.columns, df.collect()), plain([x[0] for x in got.description], got.fetchall())
+    return expected if found == expected else (found, expected)
+
+
+@pytest.mark.parametrize("n_critical, n_other", [(3, 1_000_001), (11, 1_000_001), (11, 1_000_000), (0, 0)])
+def test_security_gate_beyond_either_limit(spark, tmp_path, n_critical, n_other):
+    orders = spark.range(n_other).selectExpr("5 * id + 4 AS o_orderkey", "id AS o_custkey", "'3-MEDIUM' AS o_orderpriority")
+    orders = orders.unionAll(spark.range(n_critical).selectExpr("5 * id", "id", "'1-URGENT'"))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    reason = f"CRITICAL: {n_critical} > 10" if n_critical > 10 else ""
+    assert equals_oracle(spark, "security_gate", str(tmp_path), "orders") == [repr((n_critical <= 10 and n_other <= 1_000_000, reason))]
+
+
 def test_entry(spark):
     import __spark_entry__
 
