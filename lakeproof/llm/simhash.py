@@ -32,8 +32,12 @@ WIDTH, SEED, DISTANCE = 4, 42, 4
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: A run of equal variants up to this length is compared by shifts, a longer one by search.
 SHORT_RUN = 16
-#: A run longer than this is split by second-level variants over the other two segments.
+#: A run longer than this is split: by second-level variants over the other two segments, of wide fingerprints into blocks.
 LONG_RUN = 200_000
+#: Rows of two blocks of a long run of wide fingerprints, which one task compares.
+TWO_BLOCKS = 50_000
+#: Rows of a long run of wide fingerprints that all its rows are compared with where the run is found.
+HEADS = 64
 
 
 def shingles(text: bytes | None, width: int = WIDTH) -> np.ndarray:
@@ -196,22 +200,33 @@ def _links(keys: np.ndarray, fps: np.ndarray, names: np.ndarray, forest: Forest,
 
 def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
     """Streams (key, name, words of the fingerprint) rows sorted by key, of one word without a name, which is the word itself;
-    yields (a, b, long_key): links between names, or the key of a run over the limit."""
+    yields (a, b, long_key): links between names, or the key of a run over the limit. Of several words, the rows of such a run
+    are linked to HEADS of its rows only, which leaves less to its blocks."""
     first = 1 if words == 1 else 2
 
+    def to_heads(forest: Forest, heads: tuple[np.ndarray, np.ndarray], names: np.ndarray, fps: np.ndarray) -> None:
+        for name, head in zip(*heads):
+            near = differing(fps, head) <= distance
+            other = names[near & (names != name)]
+            forest.add(np.full(other.size, name), other)
+            names, fps = names[~near], fps[~near]
+
     def out(forest: Forest, over: list[int]) -> pa.RecordBatch:
         a, b = forest.links()
         rows = [a + [None] * len(over), b + [None] * len(over), [None] * len(a) + over]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["a", "b", "long_key"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, over, skip = Forest(), [], None
+        forest, over, skip, heads = Forest(), [], None, None
         keys, names, fps = np.array([], np.int64), np.array([], np.uint64), np.zeros((0, words), np.uint64)
         for batch in batches:
             k, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
             f = np.stack([batch.column(first + j).to_numpy().view(np.uint64) for j in range(words)], axis=1)
             if skip is not None:
-                k, n, f = k[k != skip], n[k != skip], f[k != skip]
+                rest = k != skip
+                if heads:
+                    to_heads(forest, heads, n[~rest], f[~rest])
+                k, n, f = k[rest], n[rest], f[rest]
             keys, names, fps = np.concatenate((keys, k)), np.concatenate((names, n)), np.concatenate((fps, f))
             if not keys.size:
                 continue
@@ -221,6 +236,10 @@ def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
             if limit and keys.size > limit:
                 skip = int(keys[0])
                 over.append(skip)
+                if words > 1:
+                    some = np.linspace(0, keys.size - 1, min(HEADS, keys.size)).astype(int)
+                    heads = names[some], fps[some]
+                    to_heads(forest, heads, names, fps)
                 keys, fps, names = keys[:0], fps[:0], names[:0]
             if forest.pending > 1 << 20:
                 yield out(forest, [])
@@ -233,12 +252,13 @@ def _linker(limit: int, words: int = 1, distance: int = DISTANCE):
 
 def links(distinct: DataFrame, limit: int = LONG_RUN) -> DataFrame:
     """(a, b): links that connect all fingerprints of the column fp that differ in at most DISTANCE bits, directly or in turn."""
-    return _indexed_links(distinct, ["fp"], 1, F.col("fp"), lambda key: sub_variants(F.col("fp"), key), DISTANCE, limit)
+    return _indexed_links(distinct, ["fp"], 1, F.col("fp"), DISTANCE, limit, lambda key: sub_variants(F.col("fp"), key))
 
 
-def _indexed_links(distinct: DataFrame, carried: list[str], words: int, word: Column, again: Callable[[Column], Column], distance: int, limit: int) -> DataFrame:
-    """Links of fingerprints that share a variant of `word`; runs over the limit are split by the keys of `again`. The columns
-    carried are a name and the words, or the one word."""
+def _indexed_links(distinct: DataFrame, carried: list[str], words: int, word: Column, distance: int, limit: int, again: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Links of fingerprints that share a variant of `word`. Runs over the limit are split by the keys of `again`, if keys can
+    be given that lose no link; without them by blocks of which every two meet. The columns carried are a name and the words,
+    or the one word."""
     parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = distinct.select(F.explode(routes(word)).alias("route"), *carried).repartition(parts, "route")
     schema = "a long, b long, long_key long"
@@ -251,10 +271,43 @@ def _indexed_links(distinct: DataFrame, carried: list[str], words: int, word: Co
     out, over = found.filter("long_key is null").select("a", "b"), found.filter("long_key is not null")
     if over.isEmpty():
         return out
-    indexed = distinct.select(F.explode(variants(word)).alias("key"), *carried)
-    rest = indexed.join(over.select(F.col("long_key").alias("key")), "key").select(F.explode(again(F.col("key"))).alias("sub"), "key", *carried)
-    finer = rest.select(F.xxhash64("key", "sub").alias("key"), *carried).repartition(parts, "key")
-    return out.unionAll(link(finer, 0).select("a", "b"))
+    over = over.select(F.col("long_key").alias("key"))
+
+    def searched(rows: DataFrame, *group: str) -> DataFrame:
+        """Links within each group of rows."""
+        return link(rows.select(F.xxhash64(*group).alias("key"), *carried).repartition(parts, "key"), 0).select("a", "b")
+
+    if again:
+        indexed = distinct.select(F.explode(variants(word)).alias("key"), *carried)
+        return out.unionAll(searched(indexed.join(over, "key").select(F.explode(again(F.col("key"))).alias("sub"), "key", *carried), "key", "sub"))
+    name, digest = carried[0], F.xxhash64(*carried[1:])
+    roots = components(out).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    rooted = distinct.join(roots, F.col(name) == F.col("_node"), "left").select(F.coalesce("_root", name).alias("_root"), *carried)
+    rooted = materialize(rooted, "simhash-long")
+    rows = rooted.select(F.explode(variants(word)).alias("key"), "_root", *carried).join(over, "key")
+    rows = _two_blocks(rows, digest, max(1, min(limit, TWO_BLOCKS) // 2))
+    return out if rows is None else out.unionAll(searched(rows, "key", "_low", "_high"))
+
+
+def _two_blocks(rows: DataFrame, digest: Column, block: int) -> DataFrame | None:
+    """Rows (key, _root, any others) of long runs with _low and _high, the numbers of two blocks of the run, or None if none need meet.
+
+    What has one root is connected and needs no more links. Of each run, the rows of the commonest root and all others are dealt
+    to blocks by their digest; each block of others meets every other block, so every two rows of different roots meet.
+    """
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("long")
+    counts = rows.groupBy("key", "_root").agg(F.count("*").alias("_n"))
+    split = counts.groupBy("key").agg(F.max(F.struct("_n", "_root")).alias("_top"), F.sum("_n").alias("_all")).filter("_all > _top._n")
+    split = split.select("key", F.col("_top._root").alias("_commonest"), blocks(F.col("_top._n")).alias("_most"), blocks(F.col("_all") - F.col("_top._n")).alias("_others"))
+    split = materialize(split, "simhash-split")
+    if split.isEmpty():
+        return None
+    # the blocks of others have the first numbers
+    most = F.col("_root") == F.col("_commonest")
+    at = F.when(most, F.col("_others") + F.pmod(digest, "_most")).otherwise(F.pmod(digest, "_others"))
+    end = F.when(most, F.col("_others")).otherwise(F.col("_others") + F.col("_most"))
+    dealt = rows.join(split, "key").withColumn("_at", at).withColumn("_with", F.explode(F.sequence(F.lit(0).cast("long"), end - 1)))
+    return dealt.filter("_at <> _with").withColumns({"_low": F.least("_at", "_with"), "_high": F.greatest("_at", "_with")})
 
 
 #: Tasks that the rows of one root are dealt to when they learn their component's name.
@@ -311,13 +364,12 @@ def similar_links(distinct: DataFrame, near: Near = Near(), limit: int = LONG_RU
     """(a, b): links that connect the nodes whose fingerprints (columns f0, f1, ...) are near enough, by one pass for each word.
 
     A pass finds a pair that differs in at most one bit of one of the word's three segments; a pair just as similar as asked is
-    found by some pass with a chance of 1 - 0.85 ** (3 * words), 95 % with 6 words.
+    found by some pass with a chance of 1 - 0.85 ** (3 * words), 95 % with 6 words. Runs over the limit find the same pairs.
     """
     words = [f"f{k}" for k in range(near.words)]
 
     def by_word(named: DataFrame, k: int) -> DataFrame:
-        others = F.concat(*[F.transform(variants(F.col(w)), lambda x, at=j: F.xxhash64(x, F.lit(at))) for j, w in enumerate(words) if j != k])
-        return _indexed_links(named, ["node", *words], near.words, F.col(words[k]), lambda key: others, near.distance, limit)
+        return _indexed_links(named, ["node", *words], near.words, F.col(words[k]), near.distance, limit)
 
     # what the first word connects bears one name from then on, so later passes tell of new links only
     roots = materialize(components(by_word(distinct, 0)).select(F.col("node").alias("a"), F.col("root").alias("b")), "simhash-first")

@@ -142,6 +142,47 @@ def test_similar_links_find_what_is_similar(spark, limit):
     assert not any(same(a, b) for a, b, j in pairs if j < 0.6)
 
 
+def similar_roots(spark, prints, limit):
+    nodes = [int(simhash.node(p[None, :])[0].view(np.int64)) for p in prints]
+    df = spark.createDataFrame([(n, *map(int, p.view(np.int64))) for n, p in zip(nodes, prints)], "node long, " + ", ".join(f"f{k} long" for k in range(6)))
+    df = df.repartition(4)
+    root = {r.node: r.root for r in components.components(simhash.similar_links(df, limit=limit)).collect()}
+    return [root.get(n, n) for n in nodes]
+
+
+def differ_everywhere(print_, rng, bits, but=0):
+    """A fingerprint with as many other bits in every segment but one."""
+    out = [int(w) for w in print_]
+    for s, (k, (low, width)) in enumerate((k, segment) for k in range(6) for segment in simhash.SEGMENTS):
+        for b in rng.sample(range(low, low + width), bits if s != but else 0):
+            out[k] ^= 1 << b
+    return np.array(out, np.uint64)
+
+
+@pytest.mark.parametrize("but", [0, 10])
+def test_long_runs_lose_no_pair(spark, monkeypatch, but):
+    """Fingerprints that share the variants of one segment only: a run over the limit links what a shorter one does."""
+    rng = random.Random(but)
+    top = [np.array([rng.getrandbits(64) for _ in range(6)], np.uint64) for _ in range(12)]
+    k, (low, width) = [(k, segment) for k in range(6) for segment in simhash.SEGMENTS][but]
+    mask = np.uint64(((1 << width) - 1) << low)
+    for p in top[1:]:
+        p[k] = p[k] & ~mask | top[0][k] & mask  # one run for all
+    prints = [*top, *(differ_everywhere(p, rng, 3, but) for p in top[:8])]  # 51 bits, alike in one segment
+    for _ in range(120):  # a dense group
+        prints.append(differ_everywhere(top[9], rng, 1, but))
+    monkeypatch.setattr(simhash, "TWO_BLOCKS", 32)
+    monkeypatch.setattr(simhash, "HEADS", 3)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")  # runs are counted from batch to batch
+    try:
+        whole, cut = similar_roots(spark, prints, simhash.LONG_RUN), similar_roots(spark, prints, 50)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert cut == whole
+    assert all(cut[12 + j] == cut[j] for j in range(8)) and len(set(cut)) == 12 and len(set(cut[20:])) == 1
+
+
 def test_routes_spell_out_every_variant_once(spark):
     fps = [0, -1, 1 << 20, 1 << 41, -(1 << 63), 0x123456789ABCDEF, -987654321987654321]
     d = spark.createDataFrame([(x,) for x in fps], "fp long")
